@@ -18,6 +18,25 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", F.when(F.col("host_rule") == 1, F.col("matched")).alias("rule"), "verdict", F.when(F.col("host_rule") == 0, F.col("matched")).alias("pattern"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that aren't held out."""
+    from graphloom.llm.lang_id import predict_language
+
+    out = predict_language(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, and all spans."""
+    from graphloom.llm.pii import BASE_KINDS, find_pii
+
+    found = find_pii(read(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
