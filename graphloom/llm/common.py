@@ -83,3 +83,18 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         padded = np.concatenate([values, np.zeros((1, *values.shape[1:]), dtype=values.dtype)])
         out[full] = np.add.reduceat(padded, edges, axis=0, dtype=np.float64)[::2]
     return out
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, use: Column, key: str, text: str, per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(text, label) of at most about ``per_class`` labelled rows of each class, and all classes' counts.
+
+    Null labels and keys are left out; of a key that is labelled more than once
+    the smallest label counts.  The chosen keys are broadcast: their number is
+    bounded by ``per_class``.
+    """
+    rows = labels.where(use & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
+    counts = {int(r[0]): int(r[1]) for r in rows.groupBy("__label").count().collect()}
+    chosen = sample_by_class(rows, "__label", key, per_class).select(F.col(key).alias("__key"), "__label")
+    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    found = own.join(F.broadcast(chosen), "__key").select("__text", "__label").collect()
+    return sorted((r[0] or "", int(r[1])) for r in found), counts

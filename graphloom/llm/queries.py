@@ -33,10 +33,29 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
+    number = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(k)))).cast("bigint").alias(f"n_{k}")
+    counts = [number(k) for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from labels that aren't held out."""
+    from graphloom.llm.quality import score_quality, train_model
+
+    docs = read(spark, sf_dir, "documents")
+    out = score_quality(docs, train_model(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labels that aren't held out."""
+    from graphloom.llm.toxicity import score_toxicity, train_model
+
+    docs = read(spark, sf_dir, "documents")
+    out = score_toxicity(docs, train_model(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("hits").cast("bigint").alias("n_hits"))
+
+
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
