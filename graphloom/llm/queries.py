@@ -56,6 +56,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("hits").cast("bigint").alias("n_hits"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies of all documents, at a Jaccard similarity of 0.85."""
+    from graphloom.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
