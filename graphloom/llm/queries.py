@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, read
+from graphloom.llm.common import held_out, read, shared_dir
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+#: Documents of one arrival in op3_sharding, by id.
+ARRIVAL = 2048
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended as arrivals of 2048 ids each, compacted, and read by the manifest."""
+    from graphloom.llm.sharding import ShardedTable
+
+    table = ShardedTable(spark, shared_dir(spark, "shards"))
+    docs = read(spark, sf_dir, "documents")
+    table.append(docs, F.floor(F.col("doc_id") / ARRIVAL))
+    table.compact()
+    table.vacuum()
+    return table.read().select("doc_id", F.col("__arrival").alias("arrival"), F.col("__shard").alias("shard"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item within every document, up to the error budget."""
     from graphloom.llm.decontaminate import find_leaks
@@ -45,6 +61,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    from graphloom.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learnt from labels that aren't held out."""
     from graphloom.llm.quality import score_quality, train_model
