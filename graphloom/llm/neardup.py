@@ -16,10 +16,13 @@ one shingle; without words the set is empty and linked with nothing).
    buckets with others (of copies of a template, the template).  Pairs whose
    joint maximum-likelihood estimate is out of reach are dropped, the others
    verified on full sets.  Linear in the bucket, whatever its size.
-5. Rest.  Members of a bucket that are still in different components are
-   compared by their registers, in blocks of at most ``BLOCK`` members, and
-   only pairs within reach that would join two components are emitted and
-   verified.  No bucket is cut, no pair within reach is lost.
+5. Rest.  Members of a bucket that are still in different components may be
+   linked otherwise.  Of two sets as similar as the threshold t, each holds a
+   shingle of the other among its n - ceil(t * n) + 1 rarest; so only sets that
+   share one of these are compared, by their registers, in blocks of at most
+   ``BLOCK``, and only pairs within reach that would join two components are
+   verified.  Documents that share a passage but not their rarest shingles
+   cost nothing.  No bucket is cut, no pair within reach is lost.
 6. Components of the verified links by alternating large and small stars.
 
 Sets are compared as 64-bit hashes of shingles.  With the default bands a pair
@@ -40,8 +43,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import materialise, slices
 
@@ -51,6 +55,8 @@ BASE, TOP = 1.1, 20.0
 #: Estimates are believed up to so many standard errors.
 SLACK = 5.0
 BLOCK = 1024
+#: Size of the bitmap that tells the scan which documents are wanted.
+FILTER_BITS = 1 << 24
 SLICE = 1 << 20
 
 U = np.uint64
@@ -226,21 +232,41 @@ def _pairs_in_reach(pairs: DataFrame, classes: DataFrame, threshold: float) -> D
     return both.mapInPandas(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold: tuple[int, int], name: str) -> DataFrame:
-    """(a, b) of those pairs whose full sets are as similar as the threshold, exactly in integers."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(id, shingles) of the wanted ids, written to the shared folder.
+
+    A bitmap of the wanted ids' hashes, of a fixed size, lets the scan drop most
+    of the other rows, before the join that is exact; were the bitmap full, it
+    would only drop fewer.
+    """
+    wanted = wanted.select("id").distinct()
+    bits = wanted.select(_slot("id").alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("word")).agg(F.bit_or(F.expr("1L << cast(slot % 32 as int)")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    bitmap[[r["word"] for r in bits]] = [r["bits"] for r in bits]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32) & 1) == 1))
             for first, own in slices(batch.column(1).to_pylist(), SLICE):
                 value, offsets = shingle_sets(own)
                 cut = offsets.tolist()
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(first, len(own)), "shingles": pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
+    own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
+    table = own.select("id", "text", _slot("id").alias("slot")).mapInArrow(sets, "id bigint, shingles binary").join(wanted, "id", "left_semi")
     # rows that share an id are one document: any of them decides, the largest for all runs alike
-    table = materialise(texts.mapInArrow(sets, "id bigint, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles")), name)
-    side = lambda x: table.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+    return materialise(table.groupBy("id").agg(F.max("shingles").alias("shingles")), name)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) of those pairs whose full sets are as similar as the threshold, exactly in integers."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     up, down = threshold
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +281,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _rare_members(sets: DataFrame, told: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, id, component): each set under its rarest shingles, as many as any set similar enough must share one of.
+
+    Shingles of a single set come first in the order of rarity and are never
+    shared; they are only counted.
+    """
+    up, down = threshold
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                own = batch.slice(i, 256)
+                held = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in own.column(1)]
+                size = np.array([len(x) for x in held], dtype=np.int64)
+                ids = np.repeat(own.column(0).to_numpy(), size)
+                yield pa.RecordBatch.from_pydict({"id": ids, "n": np.repeat(size, size), "key": np.concatenate(held)})
+
+    tokens = sets.select("id", "shingles").mapInArrow(explode, "id bigint, n bigint, key bigint")
+    shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    rows = tokens.join(shared, "key")
+    w = Window.partitionBy("id")
+    # n - ceil(t * n) + 1 places, of which the shingles of this set alone take the first
+    places = F.col("n") - F.expr(f"({up} * n + {down} - 1) div {down}") + 1
+    rows = rows.withColumn("lone", F.col("n") - F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("df", "key")))
+    rows = rows.where(F.col("place") + F.col("lone") <= places).select("key", "id")
+    return rows.join(told, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """(id, component) of every linked id, component being the smallest id reachable.
 
@@ -348,12 +402,16 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), key
     ranked = members.join(known, "id").select("key", "id", "known")
     tops = ranked.groupBy("key").agg(F.max(F.struct("known", -F.col("id"))).alias("m")).select("key", (-F.col("m.col2")).alias("top"))
     star = members.join(tops, "key").where("id <> top").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
-    first = materialise(_verified(materialise(_pairs_in_reach(star, one, share), "neardup-pairs"), docs, key, text, threshold, "neardup-sets"), "neardup-links")
+    star = materialise(_pairs_in_reach(star, one, share), "neardup-pairs")
+    ends = star.select(F.explode(F.array("a", "b")).alias("id"))
+    first = materialise(_verified(star, _sets(docs, ends, key, text, "neardup-sets"), threshold), "neardup-links")
     told = materialise(components(first, "neardup-cc"), "neardup-first")
 
-    mixed = members.join(told, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rest = materialise(_rest(mixed, one, share), "neardup-rest")
-    second = _verified(rest, docs, key, text, threshold, "neardup-sets2")
+    placed = members.join(told, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    sets = _sets(docs, placed.join(mixed, "key", "left_semi"), key, text, "neardup-rest-sets")
+    rest = materialise(_rest(_rare_members(sets, told, threshold), one, share), "neardup-rest")
+    second = _verified(rest, sets, threshold)
     links = told.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(second).union(twins)
     final = components(links, "neardup-cc2")
 
