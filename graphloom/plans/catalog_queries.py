@@ -1,9 +1,695 @@
-"""Queries over the catalog graph and their SQL."""
+"""Queries over the catalog graph and the raw tables, each with its SQL where there is any."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from graphloom.functions import paths, text
+from graphloom.graph import PropertyGraph, first_by
+from graphloom.operators import bm25, communities, digest, focus, rank, recency, resolve, traverse
+from graphloom.operators.budget import fit
+from graphloom.sources.catalog import CATALOG_SQL, catalog_graph
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+HUB, LEAF, ORDER = "nation/N3.md", "customer/C7.csv", "orders/O1.md"
+
+
+def query(sql: str | None = None, catalog: bool = True):
+    """Registers a query; the SQL sees the catalog graph's tables if ``catalog``."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = (CATALOG_SQL + sql) if catalog else sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- counts and degrees ---------------------------------------------------------
+
+
+@query("SELECT type, count(*) AS n FROM nodes GROUP BY type")
+def node_counts(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).counts()[0]
+
+
+@query("SELECT type, count(*) AS n FROM edges GROUP BY type")
+def edge_counts(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).counts()[1]
+
+
+@query("SELECT id, degree FROM gdeg")
+def degree_all(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).degree()
+
+
+@query("SELECT id, degree FROM kdeg")
+def degree_knowledge(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).knowledge_degree()
+
+
+@query("SELECT id, degree FROM kdeg WHERE id IN (SELECT id FROM nodes)")
+def degree_community(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).community_degree()
+
+
+@query("SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id")
+def degree_store(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).store_degree()
+
+
+@query(", v AS (SELECT * FROM edges WHERE type <> 'belongs_to') SELECT id, count(*) AS degree FROM (SELECT source AS id FROM v UNION ALL SELECT target FROM v) GROUP BY id")
+def degree_viewer(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).viewer_degree()
+
+
+@query("SELECT id, type, degree FROM (SELECT id, degree FROM kdeg ORDER BY degree DESC, id LIMIT 8) JOIN nodes USING (id)")
+def most_connected(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).most_connected()
+
+
+@query("SELECT target AS id, count(*) AS inbound FROM k GROUP BY target")
+def inbound_counts(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).inbound()
+
+
+@query(
+    """, kin AS (SELECT target AS id, count(*) AS inbound FROM k GROUP BY target)
+SELECT id, type || ' · area ''' || split_part(path, '/', 1) || '''' || CASE WHEN inbound > 0 THEN ' · ' || inbound || ' inbound' ELSE '' END AS description
+FROM nodes LEFT JOIN kin USING (id) WHERE path IS NOT NULL"""
+)
+def node_descriptions(spark, sf_dir):
+    g = catalog_graph(spark, sf_dir)
+    rows = g.files().join(g.inbound(), "id", "left")
+    return rows.select("id", paths.describe(F.col("type"), F.col("path"), F.coalesce("inbound", F.lit(0))).alias("description"))
+
+
+# -- search, neighbourhood, digest ----------------------------------------------
+
+
+@query("SELECT id, type, label, path FROM nodes WHERE type <> 'area' AND (contains(lower(label), 'c1') OR contains(lower(coalesce(path, '')), 'c1')) ORDER BY id LIMIT 50")
+def find_nodes(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).find(" C1 ", 50)
+
+
+@query(f"SELECT target AS id, coalesce(n.type, '?') AS type, e.type AS edge, count(*) OVER () AS total FROM edges e LEFT JOIN nodes n ON n.id = e.target WHERE source = '{ORDER}'")
+def neighbors_out(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).neighbours(ORDER, "out")
+
+
+@query(f"SELECT source AS id, coalesce(n.type, '?') AS type, e.type AS edge, total FROM (SELECT *, count(*) OVER () AS total FROM edges WHERE target = '{HUB}' ORDER BY source, target, type LIMIT 20) e LEFT JOIN nodes n ON n.id = e.source")
+def neighbors_in(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).neighbours(HUB, "in", 20)
+
+
+@query(f"SELECT DISTINCT id FROM (SELECT target AS id FROM edges WHERE source = '{HUB}' UNION ALL SELECT source FROM edges WHERE target = '{HUB}')")
+def neighbor_ids(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).neighbour_ids(HUB)
+
+
+@query(
+    """, t AS (SELECT split_part(path, '/', 1) AS area, type, count(*) AS files, sum(size) AS size FROM nodes WHERE path IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY size DESC, type) AS place FROM t)
+SELECT area, sum(files)::BIGINT AS files, sum(size)::BIGINT AS size, list(type ORDER BY place) FILTER (WHERE place <= 3) AS top_types FROM r GROUP BY area ORDER BY size DESC, area LIMIT 8"""
+)
+def area_rollup(spark, sf_dir):
+    return digest.area_rollup(catalog_graph(spark, sf_dir))
+
+
+@query(", t AS (SELECT split_part(path, '/', 1) AS area, type, count(*) AS files, sum(size)::BIGINT AS size FROM nodes WHERE path IS NOT NULL GROUP BY ALL) SELECT area, type, files, size, row_number() OVER (PARTITION BY area ORDER BY size DESC, type) AS place FROM t")
+def area_top_types(spark, sf_dir):
+    return digest.area_types(catalog_graph(spark, sf_dir))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM files) AS files, (SELECT count(DISTINCT split_part(id, '/', 1)) FROM files) AS areas, (SELECT sum(size)::BIGINT FROM files) AS size,
+(SELECT count(*) FROM edges) AS links, (SELECT count(*) FROM files WHERE id NOT IN (SELECT id FROM kdeg)) AS orphans, 0::BIGINT AS broken_refs"""
+)
+def project_digest(spark, sf_dir):
+    return digest.project_digest(catalog_graph(spark, sf_dir))
+
+
+def _without_orders(g: PropertyGraph) -> PropertyGraph:
+    """The graph without knowledge edges of a fifth of the orders, so that some files are isolated."""
+    drop = F.col("source").rlike(r"^orders/O[0-9]*[05]\.md$") & F.col("type").isin("imports", "references")
+    return PropertyGraph(g.nodes, g.edges.where(~drop), g.project)
+
+
+_LESS = r""", e2 AS (SELECT * FROM edges WHERE NOT (regexp_matches(source, '^orders/O[0-9]*[05]\.md$') AND type IN ('imports', 'references'))),
+k2 AS (SELECT source AS id FROM e2 WHERE type IN ('imports', 'references') UNION SELECT target FROM e2 WHERE type IN ('imports', 'references'))
+"""
+
+
+@query(_LESS + "SELECT id, type FROM nodes WHERE type IN ('area', 'decision') OR id IN (SELECT id FROM k2)")
+def backbone_nodes(spark, sf_dir):
+    return _without_orders(catalog_graph(spark, sf_dir)).backbone().nodes.select("id", "type")
+
+
+@query(_LESS + "SELECT 'area:' || split_part(path, '/', 1) AS id, count(*) AS hidden FROM nodes WHERE path IS NOT NULL AND id NOT IN (SELECT id FROM k2) GROUP BY 1")
+def backbone_hidden(spark, sf_dir):
+    return _without_orders(catalog_graph(spark, sf_dir)).backbone().nodes.where("hidden is not null").select("id", "hidden")
+
+
+@query(_LESS + ", keep AS (SELECT id FROM nodes WHERE type IN ('area', 'decision') OR id IN (SELECT id FROM k2)) SELECT source, target, type FROM e2 WHERE source IN (SELECT id FROM keep) AND target IN (SELECT id FROM keep)")
+def backbone_edges(spark, sf_dir):
+    return _without_orders(catalog_graph(spark, sf_dir)).backbone().edges.select("source", "target", "type")
+
+
+@query(_LESS + "SELECT id, type FROM nodes WHERE path IS NOT NULL AND id NOT IN (SELECT id FROM k2)")
+def orphans(spark, sf_dir):
+    return _without_orders(catalog_graph(spark, sf_dir)).orphans()
+
+
+@query(
+    "SELECT source, target, type, arg_min(quantity, ord) AS quantity, min(ord) AS ord FROM (SELECT 'orders/O' || l_orderkey AS source, 'part/P' || l_partkey AS target, 'imports' AS type, l_quantity AS quantity, l_linenumber::BIGINT * 1000000000 + l_suppkey * 1000 + l_quantity::BIGINT AS ord FROM lineitem) GROUP BY ALL",
+    catalog=False,
+)
+def edge_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("orders/O"), "l_orderkey").alias("source"), F.concat(F.lit("part/P"), "l_partkey").alias("target"), F.lit("imports").alias("type"), F.col("l_quantity").alias("quantity"),
+        (F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("bigint")).alias("ord"),
+    )
+    return first_by(rows, ("source", "target", "type"), ("ord",))
+
+
+SQL["edge_dedupe"] = SQL["edge_dedupe"].replace("GROUP BY ALL", "GROUP BY source, target, type")
+
+# -- budget ------------------------------------------------------------------------
+
+_COST = "greatest(1, round_even((length(id) + length(type) + length(coalesce(path, '')) + 12) / 4.0, 0))::BIGINT"
+
+
+@query(f"SELECT id, {_COST} AS cost FROM nodes")
+def node_cost(spark, sf_dir):
+    return catalog_graph(spark, sf_dir).nodes.select("id", paths.node_cost(F.col("id"), F.col("type"), F.col("path")).alias("cost"))
+
+
+@query(f", c AS (SELECT id, size, {_COST} AS cost FROM nodes), s AS (SELECT *, sum(cost) OVER (ORDER BY size DESC, id)::BIGINT AS spent FROM c) SELECT id, cost, spent FROM s WHERE spent <= 2000")
+def budget_fit(spark, sf_dir):
+    n = catalog_graph(spark, sf_dir).nodes
+    return fit(n, paths.node_cost(F.col("id"), F.col("type"), F.col("path")), 2000, [F.desc("size"), F.col("id")]).select("id", "cost", "spent")
+
+
+# -- traversal -----------------------------------------------------------------------
+
+_UND = ", und AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)"
+
+
+@query(
+    _UND
+    + f""", s AS (SELECT '{LEAF}' AS id UNION SELECT b FROM und WHERE a = '{LEAF}'), t AS (SELECT id FROM s UNION SELECT b FROM und JOIN s ON a = s.id)
+SELECT id, type FROM nodes WHERE id IN (SELECT id FROM t)"""
+)
+def subgraph_2hop(spark, sf_dir):
+    return traverse.subgraph(catalog_graph(spark, sf_dir), LEAF, 2).nodes.select("id", "type")
+
+
+@query(_UND + f", s AS (SELECT '{LEAF}' AS id UNION SELECT b FROM und WHERE a = '{LEAF}') SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s)")
+def subgraph_edges(spark, sf_dir):
+    return traverse.subgraph(catalog_graph(spark, sf_dir), LEAF, 1).edges.select("source", "target", "type")
+
+
+def _impact_sql(start: str, near: str, far: str, cap: int) -> str:
+    """Two levels of the walk, unrolled."""
+    return f""", im AS (SELECT {near} AS via, {far} AS id, type AS edge, source, target FROM edges WHERE type IN ('imports', 'references', 'mentions')),
+s0 AS ({start}),
+l1a AS (SELECT id, arg_min(via, (via, source, target, edge)) AS via, arg_min(edge, (via, source, target, edge)) AS edge FROM im WHERE via IN (SELECT id FROM s0) AND id NOT IN (SELECT id FROM s0) GROUP BY id),
+l1 AS (SELECT * FROM l1a ORDER BY id, edge LIMIT {cap}),
+l2a AS (SELECT id, arg_min(via, (via, source, target, edge)) AS via, arg_min(edge, (via, source, target, edge)) AS edge FROM im WHERE via IN (SELECT id FROM l1) AND id NOT IN (SELECT id FROM s0) AND id NOT IN (SELECT id FROM l1a) GROUP BY id),
+l2 AS (SELECT * FROM l2a ORDER BY id, edge LIMIT {cap}),
+walk AS (SELECT 1 AS depth, id, edge, via FROM l1 UNION ALL SELECT 2, id, edge, via FROM l2),
+ranked AS (SELECT w.depth, w.id, coalesce(n.type, '?') AS type, n.path, w.edge, w.via, coalesce(g.degree, 0) AS degree FROM walk w LEFT JOIN nodes n USING (id) LEFT JOIN gdeg g USING (id))
+"""
+
+
+def _start(node: str) -> str:
+    return f"SELECT id FROM nodes WHERE id = '{node}'"
+
+
+@query(_impact_sql(_start(HUB), "target", "source", 200) + "SELECT * FROM ranked")
+def impact_up(spark, sf_dir):
+    return traverse.impact(catalog_graph(spark, sf_dir), HUB, "up")["upstream"]
+
+
+@query(_impact_sql(_start(ORDER), "source", "target", 200) + "SELECT * FROM ranked")
+def impact_down(spark, sf_dir):
+    return traverse.impact(catalog_graph(spark, sf_dir), ORDER, "down")["downstream"]
+
+
+@query(_impact_sql(_start("region/R1.md"), "target", "source", 3) + "SELECT * FROM ranked")
+def impact_capped(spark, sf_dir):
+    return traverse.impact(catalog_graph(spark, sf_dir), "region/R1.md", "up", cap=3)["upstream"]
+
+
+@query(
+    _impact_sql(_start(HUB), "target", "source", 200)
+    + f", c AS (SELECT *, {_COST} AS cost FROM ranked), s AS (SELECT *, sum(cost) OVER (ORDER BY depth, degree DESC, id) AS spent FROM c) SELECT depth, id, type, path, edge, via, degree FROM s WHERE spent <= 300"
+)
+def impact_budget(spark, sf_dir):
+    return traverse.impact(catalog_graph(spark, sf_dir), HUB, "up", budget_tokens=300)["upstream"]
+
+
+_CHANGED = "SELECT 'customer/C' || c_custkey || '.csv' AS id FROM customer WHERE c_custkey % 100 = 1"
+
+
+@query(_impact_sql(f"SELECT id FROM nodes WHERE id IN ({_CHANGED})", "target", "source", 200) + "SELECT * FROM ranked")
+def impact_diff(spark, sf_dir):
+    changed = table(spark, sf_dir, "customer").where("c_custkey % 100 = 1").select(F.concat(F.lit("customer/C"), "c_custkey", F.lit(".csv")).alias("path"))
+    return traverse.impact_diff(catalog_graph(spark, sf_dir), changed, "up")["upstream"]
+
+
+@query(
+    """, und AS (SELECT source AS a, target AS b, type, true AS forward FROM k UNION ALL SELECT target, source, type, false FROM k),
+hop AS (SELECT a, b FROM und WHERE a <> b GROUP BY a, b),
+w0 AS (SELECT 'customer/C7.csv' AS id, ['customer/C7.csv'] AS walk),
+w1 AS MATERIALIZED (SELECT b AS id, min(list_append(walk, b)) AS walk FROM hop JOIN w0 ON a = id GROUP BY b),
+s1 AS MATERIALIZED (SELECT id FROM w0 UNION SELECT id FROM w1),
+w2 AS MATERIALIZED (SELECT b AS id, min(list_append(walk, b)) AS walk FROM hop JOIN w1 ON a = id WHERE b NOT IN (SELECT id FROM s1) GROUP BY b),
+s2 AS MATERIALIZED (SELECT id FROM s1 UNION SELECT id FROM w2),
+w3 AS MATERIALIZED (SELECT b AS id, min(list_append(walk, b)) AS walk FROM hop JOIN w2 ON a = id WHERE b NOT IN (SELECT id FROM s2) GROUP BY b),
+s3 AS MATERIALIZED (SELECT id FROM s2 UNION SELECT id FROM w3),
+w4 AS MATERIALIZED (SELECT b AS id, min(list_append(walk, b)) AS walk FROM hop JOIN w3 ON a = id WHERE b NOT IN (SELECT id FROM s3) GROUP BY b),
+ends AS (SELECT walk FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4) WHERE id = 'customer/C11.csv'),
+steps AS (SELECT unnest(range(len(walk))) AS i, walk FROM ends)
+SELECT i::INT AS step, walk[i + 1] AS id,
+  (SELECT coalesce(min(type) FILTER (WHERE forward), min(type)) FROM und WHERE a = walk[i] AND b = walk[i + 1]) AS edge,
+  CASE WHEN i > 0 THEN (SELECT bool_or(forward) FROM und WHERE a = walk[i] AND b = walk[i + 1]) END AS forward FROM steps"""
+)
+def why_path(spark, sf_dir):
+    return traverse.why(catalog_graph(spark, sf_dir), "customer/C7.csv", "customer/C11.csv")
+
+
+# -- retrieval -------------------------------------------------------------------------
+
+_TOK = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), x -> length(x) >= 2)"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {_TOK.format('text')} AS terms FROM documents), n AS (SELECT count(*) AS n FROM d), df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM d) GROUP BY term) SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, n",
+    catalog=False,
+)
+def bm25_idf(spark, sf_dir):
+    return bm25.idf(table(spark, sf_dir, "documents"), "doc_id").withColumn("idf", F.round("idf", 6))
+
+
+def _bm25_sql(docs: str, key: str, terms: list[str]) -> str:
+    asked = ", ".join(f"('{t}', {terms.count(t)})" for t in sorted(set(terms)))
+    return f"""d AS (SELECT {key}, {_TOK.format('text')} AS terms FROM {docs}), s AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM d),
+tf AS (SELECT {key}, len(terms) AS dl, term, count(*) AS tf FROM (SELECT {key}, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+q(term, m) AS (VALUES {asked}), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT {key}, sum(m * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN q USING (term) JOIN df USING (term), s GROUP BY {key})"""
+
+
+@query("WITH " + _bm25_sql("documents", "doc_id", ["with", "and", "with", "entonces", "nicht"]) + " SELECT doc_id, round(score, 6) AS score FROM sc WHERE score > 0", catalog=False)
+def bm25_scores(spark, sf_dir):
+    return bm25.scores(table(spark, sf_dir, "documents"), "with and with entonces nicht", "doc_id").withColumn("score", F.round("score", 6))
+
+
+@query(
+    ", nt AS (SELECT id, id || ' ' || label || ' ' || type || coalesce(' ' || path, '') || ' ' || type || ' ' || label AS text FROM nodes WHERE type <> 'area'), "
+    + _bm25_sql("nt", "id", ["supplier", "design", "n3"])
+    + " SELECT id, round(score, 6) AS weight FROM sc WHERE score > 0"
+)
+def focus_seeds(spark, sf_dir):
+    return bm25.focus_seeds(catalog_graph(spark, sf_dir), "supplier design N3").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"SELECT doc_id, len(t) AS terms, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)", catalog=False)
+def tokenize_docs(spark, sf_dir):
+    t = text.tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("terms"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
+
+
+# -- recency ---------------------------------------------------------------------------
+
+_REC = """, anchor AS (SELECT max(date::DATE) AS a FROM nodes WHERE type = 'session'),
+raw AS (SELECT e.target AS id, sum(pow(0.5, date_diff('day', s.date::DATE, a) / 30.0)) AS raw FROM edges e JOIN nodes s ON s.id = e.source AND s.type = 'session', anchor WHERE e.type = 'touches' GROUP BY e.target),
+rec AS (SELECT id, raw / (SELECT max(raw) FROM raw) AS recency FROM raw)
+"""
+
+
+@query(_REC + "SELECT id, round(recency, 6) AS recency FROM rec")
+def recency_scores(spark, sf_dir):
+    return recency.recency_scores(catalog_graph(spark, sf_dir)).withColumn("recency", F.round("recency", 6))
+
+
+@query(_REC + ", b AS (SELECT id, degree::DOUBLE AS score FROM kdeg) SELECT id, round(0.7 * (score - (SELECT min(score) FROM b)) / (SELECT max(score) - min(score) FROM b) + 0.3 * coalesce(recency, 0), 6) AS score FROM b LEFT JOIN rec USING (id)")
+def recency_blend(spark, sf_dir):
+    g = catalog_graph(spark, sf_dir)
+    base = g.knowledge_degree().select("id", F.col("degree").cast("double").alias("score"))
+    return recency.blend(base, recency.recency_scores(g), 0.3).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT target AS id, count(*) AS touches FROM edges WHERE type = 'touches' GROUP BY target ORDER BY touches DESC, id LIMIT 10")
+def churn(spark, sf_dir):
+    return recency.churn(catalog_graph(spark, sf_dir))
+
+
+# -- ranks -----------------------------------------------------------------------------
+
+
+def _pagerank_sql(rounds: int, seeds: str | None) -> str:
+    p = "1.0 / (SELECT count(*) FROM nodes)" if seeds is None else "coalesce(w / (SELECT sum(w) FROM seed), 0)"
+    out = f""", seed AS ({seeds or "SELECT NULL AS id, 0.0 AS w"}), od AS (SELECT source, count(*) AS d FROM k GROUP BY source),
+base AS MATERIALIZED (SELECT n.id, {p} AS p, od.d IS NULL AS dangling FROM nodes n LEFT JOIN seed ON seed.id = n.id LEFT JOIN od ON od.source = n.id),
+r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS score FROM nodes)"""
+    for i in range(1, rounds + 1):
+        out += f""",
+g{i} AS (SELECT k.target AS id, sum(0.85 * r.score / od.d) AS gain FROM k JOIN r{i - 1} r ON r.id = k.source JOIN od ON od.source = k.source GROUP BY k.target),
+r{i} AS MATERIALIZED (SELECT b.id, b.p * (0.15 + 0.85 * (SELECT coalesce(sum(r.score), 0) FROM r{i - 1} r JOIN base USING (id) WHERE dangling)) + coalesce(gain, 0) AS score FROM base b LEFT JOIN g{i} USING (id))"""
+    return out + "\n"
+
+
+@query(_pagerank_sql(10, None) + "SELECT id, round(score, 6) AS score FROM r10")
+def pagerank_10(spark, sf_dir):
+    return rank.pagerank(catalog_graph(spark, sf_dir), max_iter=10, tol=0.0).withColumn("score", F.round("score", 6))
+
+
+_SEEDS = {"customer/C7.csv": 2.0, "part/P5.py": 1.0, "unknown": 4.0, "nation/N3.md": -1.0}
+
+
+@query(_pagerank_sql(10, "SELECT * FROM (VALUES ('customer/C7.csv', 2.0), ('part/P5.py', 1.0)) t(id, w)") + "SELECT id, round(score, 6) AS score FROM r10")
+def personalised_10(spark, sf_dir):
+    return rank.personalised(catalog_graph(spark, sf_dir), _SEEDS, max_iter=10, tol=0.0).withColumn("score", F.round("score", 6))
+
+
+@query(_pagerank_sql(10, None) + "SELECT id, type, round(score, 6) AS score FROM r10 JOIN nodes USING (id) WHERE path IS NOT NULL AND type NOT IN ('area', 'session', 'decision') ORDER BY r10.score DESC, id LIMIT 10")
+def god_nodes(spark, sf_dir):
+    g = catalog_graph(spark, sf_dir)
+    return rank.god_nodes(g, rank.pagerank(g, max_iter=10, tol=0.0)).withColumn("score", F.round("score", 6))
+
+
+# -- communities ------------------------------------------------------------------------
+
+
+def _stars(g: PropertyGraph) -> DataFrame:
+    return g.edges.where("type = 'references' and source like 'orders/%'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+
+
+@query(", s AS (SELECT source, target FROM edges WHERE type = 'references' AND source LIKE 'orders/%'), c AS (SELECT target, least(target, min(source)) AS component FROM s GROUP BY target) SELECT source AS id, component FROM s JOIN c USING (target) UNION ALL SELECT target, component FROM c")
+def components(spark, sf_dir):
+    return communities.connected_components(_stars(catalog_graph(spark, sf_dir)))
+
+
+@query()
+def communities_detect(spark, sf_dir):
+    return communities.detect(catalog_graph(spark, sf_dir))
+
+
+def _by_nation(g: PropertyGraph) -> DataFrame:
+    """A labelling that SQL can express: customers by nation, nations by themselves."""
+    own = g.edges.where("source like 'customer/%' and target like 'nation/%'").select(F.col("source").alias("id"), F.col("target").alias("label"))
+    return own.union(g.nodes.where("type = 'design'").select("id", F.col("id").alias("label")))
+
+
+_COMM = """, comm AS (SELECT source AS id, target AS label FROM edges WHERE source LIKE 'customer/%' AND target LIKE 'nation/%' UNION ALL SELECT id, id FROM nodes WHERE type = 'design'),
+nm AS (SELECT label, count(*) AS size, 'Cluster ' || row_number() OVER (ORDER BY count(*) DESC, label) AS name FROM comm GROUP BY label)
+"""
+
+
+@query(_COMM + "SELECT label, size, name FROM nm")
+def community_names(spark, sf_dir):
+    return communities.names(_by_nation(catalog_graph(spark, sf_dir)))
+
+
+@query(
+    _COMM
+    + """, pl AS (SELECT s.label AS ls, t.label AS lt FROM k LEFT JOIN comm s ON s.id = k.source LEFT JOIN comm t ON t.id = k.target WHERE k.source <> k.target),
+ends AS (SELECT ls AS label, true AS inside FROM pl WHERE ls = lt UNION ALL SELECT ls, false FROM pl WHERE ls IS NOT NULL AND ls IS DISTINCT FROM lt UNION ALL SELECT lt, false FROM pl WHERE lt IS NOT NULL AND ls IS DISTINCT FROM lt),
+held AS (SELECT label, count(*) FILTER (WHERE inside) AS internal_edges, count(*) FILTER (WHERE NOT inside) AS boundary_edges FROM ends GROUP BY label),
+tops AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY coalesce(degree, 0) DESC, id) AS p FROM comm LEFT JOIN kdeg USING (id)),
+types AS (SELECT label, type, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, type) AS p FROM comm JOIN nodes USING (id) GROUP BY label, type)
+SELECT name, label, size, (SELECT list(id ORDER BY p) FROM tops WHERE tops.label = nm.label AND p <= 5) AS key_files, (SELECT list(type ORDER BY p) FROM types WHERE types.label = nm.label AND p <= 3) AS dominant_types,
+ internal_edges, boundary_edges, round(internal_edges / (internal_edges + boundary_edges), 6) AS cohesion FROM nm JOIN held USING (label)"""
+)
+def community_summary(spark, sf_dir):
+    g = catalog_graph(spark, sf_dir)
+    return communities.summarize(g, _by_nation(g))
+
+
+@query(
+    _COMM.replace("UNION ALL SELECT id, id FROM nodes WHERE type = 'design'", "UNION ALL SELECT id, id FROM nodes WHERE type IN ('design', 'structure')")
+    + "SELECT source, target, type, a.name AS source_community, b.name AS target_community, ds.degree + dt.degree AS weight FROM k JOIN comm s ON s.id = source JOIN comm t ON t.id = target JOIN nm a ON a.label = s.label JOIN nm b ON b.label = t.label JOIN kdeg ds ON ds.id = source JOIN kdeg dt ON dt.id = target WHERE s.label <> t.label ORDER BY weight DESC, source, target, type LIMIT 10"
+)
+def surprising_edges(spark, sf_dir):
+    g = catalog_graph(spark, sf_dir)
+    comm = _by_nation(g).union(g.nodes.where("type = 'structure'").select("id", F.col("id").alias("label")))
+    return communities.surprising_edges(g, comm)
+
+
+# -- focus ------------------------------------------------------------------------------
+
+
+@query()
+def focus_global(spark, sf_dir):
+    return focus.focus_nodes(catalog_graph(spark, sf_dir), "zzz no such term", 2000, max_iter=10)
+
+
+@query()
+def focus_personalised(spark, sf_dir):
+    return focus.focus_nodes(catalog_graph(spark, sf_dir), "supplier design N3", 1500, max_iter=10)
+
+
+@query()
+def focus_recency(spark, sf_dir):
+    return focus.focus_nodes(catalog_graph(spark, sf_dir), "customer C7", 1000, recency=0.5, max_iter=10)
+
+
+# -- extraction and resolution -------------------------------------------------------------
+
+
+@query("SELECT page_id, len(h) AS links, array_to_string(h, ' ') AS targets FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"([^\"]{1,2000})\"', 1), x -> x <> '') AS h FROM pages)", catalog=False)
+def html_links(spark, sf_dir):
+    h = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]{1,2000})"'), 1), lambda x: x != "")
+    return table(spark, sf_dir, "pages").select("page_id", F.size(h).cast("bigint").alias("links"), F.array_join(h, " ").alias("targets"))
+
+
+_SHAPES = ("src/app{0}.py", "notes/report-2024-01-{0}.md", "docs/plan_{0}.md", "data/t{0}.csv", "conf/x{0}.toml", "memory/m{0}.md", "docs/guide{0}.md", "README.md", "src/app{0}.py.bak", "img/p{0}.png")
+_SHAPE_SQL = "CASE c_custkey % 10 " + " ".join("WHEN {} THEN '{}'".format(i, s.replace("{0}", "' || c_custkey || '")) for i, s in enumerate(_SHAPES)) + " END"
+
+
+def _shaped(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    path = F.lit(None).cast("string")
+    for i, s in enumerate(_SHAPES):
+        a, _, b = s.partition("{0}")
+        path = F.when(F.col("c_custkey") % 10 == i, F.concat(F.lit(a), F.col("c_custkey").cast("string"), F.lit(b)) if "{0}" in s else F.lit(s)).otherwise(path)
+    return c.select("c_custkey", path.alias("path"))
+
+
+@query(f"SELECT c_custkey, path, CASE c_custkey % 10 WHEN 0 THEN 'program' WHEN 1 THEN 'report' WHEN 2 THEN 'design' WHEN 3 THEN 'data' WHEN 4 THEN 'config' WHEN 5 THEN 'memory' WHEN 8 THEN 'program' WHEN 9 THEN 'config' ELSE 'structure' END AS type FROM (SELECT c_custkey, {_SHAPE_SQL} AS path FROM customer)", catalog=False)
+def classify_paths(spark, sf_dir):
+    return _shaped(spark, sf_dir).select("c_custkey", "path", paths.classify(F.col("path")).alias("type"))
+
+
+@query(
+    f"""SELECT c_custkey, CASE WHEN c_custkey % 10 = 7 THEN '.md' ELSE regexp_extract(path, '(\\.[^./]*)$', 1) END AS ext, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS area,
+regexp_replace(path, '^.*/', '') AS base, regexp_matches(path, '\\.bak$') AS noise, trim(regexp_replace(replace(lower(path), '/', '--'), '[^a-z0-9-]+', '-', 'g'), '-') AS slug,
+regexp_replace(path, '[^A-Za-z0-9]', '-', 'g') AS agent_key, greatest(1, round_even(length(path) / 4.0, 0))::BIGINT AS text_cost FROM (SELECT c_custkey, {_SHAPE_SQL} AS path FROM customer)""",
+    catalog=False,
+)
+def path_functions(spark, sf_dir):
+    p = F.col("path")
+    return _shaped(spark, sf_dir).select("c_custkey", paths.ext(p).alias("ext"), paths.top_area(p).alias("area"), paths.basename(p).alias("base"), paths.is_copy_or_log(p).alias("noise"), paths.slug(p).alias("slug"), paths.agent_key(p).alias("agent_key"), paths.text_cost(p).alias("text_cost"))
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0) ELSE format('{:.1f} GB', b / 1073741824.0) END AS size FROM (SELECT o_orderkey, (floor(o_totalprice) * (o_orderkey % 100) * (o_orderkey % 7))::BIGINT AS b FROM orders)", catalog=False)
+def human_sizes(spark, sf_dir):
+    b = (F.floor("o_totalprice") * (F.col("o_orderkey") % 100) * (F.col("o_orderkey") % 7)).cast("bigint")
+    return table(spark, sf_dir, "orders").select("o_orderkey", paths.human(b).alias("size"))
+
+
+def _doc_refs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Raw references from orders' notes: a good relative link, one from the root, a unique name, a broken one, one outside."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    note = F.concat(
+        F.lit("see [c](../customer/C"), "o_custkey", F.lit(".csv) and [again](customer/C"), "o_custkey", F.lit(".csv#top) `[no](x.md)` then [[C"), "o_custkey",
+        F.lit("]] and [gone](missing/M"), "o_orderkey", F.lit(".md) also [out](../../other/X"), "o_orderkey", F.lit(".md) [web](https://example.com/a.md) [m](mailto:a@b.c) C"), "o_custkey", F.lit(".csv"),
+    )
+    refs = o.select(F.concat(F.lit("orders/O"), "o_orderkey", F.lit(".md")).alias("source"), F.explode(text.references(note)).alias("r")).select("source", "r.target", "r.kind")
+    files = o.select(F.concat(F.lit("orders/O"), "o_orderkey", F.lit(".md")).alias("path")).union(table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/C"), "c_custkey", F.lit(".csv"))))
+    return refs, files
+
+
+_REFS = """WITH o AS (SELECT 'orders/O' || o_orderkey || '.md' AS source, o_orderkey AS k, 'C' || o_custkey AS c FROM orders),
+r AS (SELECT source, '../customer/' || c || '.csv' AS target, 'link' AS kind, 'customer/' || c || '.csv' AS hit, 'ok' AS status FROM o
+ UNION ALL SELECT source, 'customer/' || c || '.csv', 'link', 'customer/' || c || '.csv', 'ok' FROM o
+ UNION ALL SELECT source, c, 'wikilink', NULL, 'ignored' FROM o
+ UNION ALL SELECT source, 'missing/M' || k || '.md', 'link', NULL, 'broken' FROM o
+ UNION ALL SELECT source, '../../other/X' || k || '.md', 'link', NULL, 'external' FROM o
+ UNION ALL SELECT source, c || '.csv', 'path', 'customer/' || c || '.csv', 'ok' FROM o)
+"""
+
+
+@query(_REFS + "SELECT source, target, kind FROM r", catalog=False)
+def reference_extraction(spark, sf_dir):
+    return _doc_refs(spark, sf_dir)[0]
+
+
+@query(_REFS + "SELECT source, target, kind, hit, status FROM r", catalog=False)
+def reference_resolution(spark, sf_dir):
+    return resolve.resolve_references(*_doc_refs(spark, sf_dir))
+
+
+@query(_REFS + "SELECT source AS id, list(target ORDER BY target) FILTER (WHERE status = 'broken') AS broken_refs, list(target ORDER BY target) FILTER (WHERE status = 'external') AS external_refs FROM r GROUP BY source", catalog=False)
+def broken_refs(spark, sf_dir):
+    return resolve.reference_lists(resolve.resolve_references(*_doc_refs(spark, sf_dir)))
+
+
+@query("SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 3 = 0 THEN ['ADR-' || (o_orderkey % 50)] WHEN o_orderkey % 3 = 1 THEN ['D-CORE-' || (o_orderkey % 90), 'RFC-7'] ELSE ['RFC-7'] END) AS decision FROM orders", catalog=False)
+def decision_mentions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    note = F.when(k % 3 == 0, F.concat(F.lit("per ADR-"), k % 50, F.lit(", ADR-"), k % 50, F.lit(" xADR-1"))).when(k % 3 == 1, F.concat(F.lit("D-CORE-"), k % 90, F.lit(" and RFC-7."))).otherwise(F.lit("RFC-7 RFC-123456"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(text.decision_ids(note)).alias("decision"))
+
+
+@query("SELECT 'part/P' || p_partkey || '.js' AS source, 'part/P' || (p_partkey - 1) || CASE WHEN (p_partkey - 1) % 2 = 0 THEN '/index.js' ELSE '.js' END AS target FROM part WHERE p_partkey > (SELECT min(p_partkey) FROM part) AND p_partkey % 2 = 1", catalog=False)
+def js_resolution(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    odd = F.col("p_partkey") % 2 == 1
+    files = p.select(F.when(odd, F.concat(F.lit("part/P"), "p_partkey", F.lit(".js"))).otherwise(F.concat(F.lit("part/P"), "p_partkey", F.lit("/index.js"))).alias("path"))
+    code = F.concat(F.lit("import x from './P"), F.col("p_partkey") - 1, F.lit("'; // import y from './gone'\nconst z = require('lodash'); import('./P"), "p_partkey", F.lit("');"))
+    imports = p.where(odd).select(F.concat(F.lit("part/P"), "p_partkey", F.lit(".js")).alias("source"), F.explode(text.js_imports(code)).alias("spec"))
+    return resolve.resolve_js(imports, files)
+
+
+@query("SELECT 'part/P' || p_partkey || '.py' AS source, 'supplier/S' || (p_partkey % 10 + 1) || '.py' AS target FROM part UNION ALL SELECT 'part/P' || p_partkey || '.py', 'part/P' || (p_partkey - 1) || '.py' FROM part WHERE p_partkey > (SELECT min(p_partkey) FROM part)", catalog=False)
+def python_resolution(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    files = p.select(F.concat(F.lit("part/P"), "p_partkey", F.lit(".py")).alias("path")).union(spark.range(1, 11).select(F.concat(F.lit("supplier/S"), "id", F.lit(".py"))))
+    source = F.concat(F.lit("part/P"), "p_partkey", F.lit(".py")).alias("source")
+    absolute = p.select(source, F.lit(0).alias("level"), F.concat(F.lit("supplier.S"), F.col("p_partkey") % 10 + 1).alias("module"), F.array(F.lit("thing")).alias("names"))
+    relative = p.select(source, F.lit(1).alias("level"), F.lit(None).cast("string").alias("module"), F.array(F.concat(F.lit("P"), F.col("p_partkey") - 1), F.concat(F.lit("P"), "p_partkey")).alias("names"))
+    return resolve.resolve_python(absolute.union(relative), files)
+
+
+@query("SELECT 'part/P' || l_partkey || '.py' AS source, 'supplier/S' || l_suppkey || '.toml' AS target, 'imports' AS type FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL", catalog=False)
+def code_graph_enrich(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    p, s = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
+    nodes = line.select(p.alias("id"), F.concat(F.lit("./part/P"), "l_partkey", F.lit(".py")).alias("source_file")).union(line.select(s, F.concat(F.lit("supplier\\S"), "l_suppkey", F.lit(".toml")))).distinct()
+    relation = F.when(F.col("l_returnflag") == "R", "calls").otherwise("mystery")
+    links = line.select(p.alias("source"), s.alias("target"), relation.alias("relation"), F.lit(1.0).alias("confidence"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("part/P"), "p_partkey", F.lit(".py")).alias("path")).union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/S"), "s_suppkey", F.lit(".toml"))))
+    return resolve.enrich_from_code_graph(nodes, links, files)[0].select("source", "target", "type")
+
+
+# -- freshness and integrity -----------------------------------------------------------------
+
+_SNAP = "WITH old AS (SELECT o_orderkey AS path, md5(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 11 <> 0), new AS (SELECT o_orderkey AS path, md5(CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE o_orderstatus END) AS hash FROM orders WHERE o_orderkey % 7 <> 0), diff AS (SELECT path, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n USING (path) WHERE o.hash IS DISTINCT FROM n.hash)"
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    old = o.where(k % 11 != 0).select(k.alias("path"), F.md5(F.col("o_orderstatus").cast("binary")).alias("hash"))
+    new = o.where(k % 7 != 0).select(k.alias("path"), F.md5(F.when(k % 13 == 0, "x").otherwise(F.col("o_orderstatus")).cast("binary")).alias("hash"))
+    return old, new
+
+
+@query(_SNAP + " SELECT path, change FROM diff", catalog=False)
+def manifest_diff(spark, sf_dir):
+    return digest.manifest_diff(*_snapshots(spark, sf_dir))
+
+
+@query(_SNAP + " SELECT count(*) > 0 AS stale, count(*) AS changes FROM diff", catalog=False)
+def staleness(spark, sf_dir):
+    return digest.staleness(*_snapshots(spark, sf_dir))
+
+
+@query(_LESS + "SELECT (SELECT count(*) FROM files WHERE size % 50 = 0)::BIGINT AS broken, 0::BIGINT AS stale, (SELECT count(*) FROM files WHERE id NOT IN (SELECT id FROM k2)) AS orphans, false AS ok")
+def gate_summary(spark, sf_dir):
+    g = _without_orders(catalog_graph(spark, sf_dir))
+    nodes = g.nodes.withColumn("broken_refs", F.when((F.col("size") % 50 == 0) & F.col("path").isNotNull(), F.array(F.lit("gone.md"))))
+    none = spark.createDataFrame([], "path string, change string")
+    return digest.gate(PropertyGraph(nodes, g.edges), none)
+
+
+@query("SELECT 'd' || doc_id || '.md' AS path, CASE WHEN doc_id % 10 = 0 THEN 'empty' ELSE 'truncated' END AS problem FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 3", catalog=False)
+def integrity_scan(spark, sf_dir):
+    k = F.col("doc_id")
+    body = F.col("text").cast("binary")
+    torn = F.when(k % 10 == 3, F.concat(body, F.unhex(F.lit("00" * 16)))).otherwise(body)
+    none = F.lit(b"")
+    size = F.when(k % 10 == 0, 0).otherwise(F.octet_length(torn))
+    name = F.concat(F.lit("d"), k, F.when(k % 10 == 5, ".png").otherwise(".md"))
+    rows = table(spark, sf_dir, "documents").select(name.alias("path"), size.alias("size"), F.when(k % 10 == 0, none).otherwise(torn).alias("head"), none.alias("tail"))
+    return digest.integrity(rows)
+
+
+@query("SELECT count(*) AS files, round_even(sum(length(id) + 1) / 4.0, 0)::BIGINT AS tokens_inventory, sum(size) FILTER (WHERE type IN ('structure', 'report', 'design', 'decision', 'memory'))::BIGINT AS docs_bytes, sum(size)::BIGINT AS all_bytes, count(*) FILTER (WHERE id NOT IN (SELECT id FROM kdeg)) AS orphans, round_even((sum(size) FILTER (WHERE type IN ('structure', 'report', 'design', 'decision', 'memory'))) / 4.0, 0)::BIGINT AS tokens_docs, round(100.0 * (count(*) FILTER (WHERE id NOT IN (SELECT id FROM kdeg))) / count(*), 6)::DOUBLE AS orphans_pct FROM files")
+def assess_tokens(spark, sf_dir):
+    return digest.assess(catalog_graph(spark, sf_dir))
+
+
+@query("SELECT type, count(*) AS nodes, sum(size)::BIGINT AS size FROM nodes WHERE type <> 'area' GROUP BY type")
+def view_legend(spark, sf_dir):
+    return digest.view_legend(catalog_graph(spark, sf_dir))
+
+
+@query(", v AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges WHERE type <> 'belongs_to' UNION ALL SELECT target FROM edges WHERE type <> 'belongs_to') GROUP BY id), m AS (SELECT max(degree) AS m FROM v) SELECT n.id, label, type, coalesce(degree, 0) AS degree, round(10 + 30.0::DOUBLE * coalesce(degree, 0) / m, 1) AS radius, coalesce(degree, 0) >= 0.15 * m AS hub FROM nodes n LEFT JOIN v USING (id), m WHERE type <> 'area'")
+def view_payload(spark, sf_dir):
+    return digest.view_nodes(catalog_graph(spark, sf_dir))
+
+
+@query("SELECT regexp_replace(label, '-[0-9]+$', '') AS family, count(*) AS n FROM nodes WHERE type = 'decision' GROUP BY 1")
+def decision_families(spark, sf_dir):
+    return digest.decision_families(catalog_graph(spark, sf_dir))
+
+
+# -- workspace and registry -------------------------------------------------------------------
+
+
+@query("SELECT 'part/P' || p_partkey AS id, '/w/' || CASE WHEN p_partkey % 3 = 0 THEN 'alfa/sub' WHEN p_partkey % 3 = 1 THEN 'alfa' ELSE 'beta' END || '/f' || p_partkey || '.md' AS target, CASE p_partkey % 3 WHEN 0 THEN 'deep' WHEN 1 THEN 'alfa' ELSE 'beta' END AS project, 'f' || p_partkey || '.md' AS relative FROM part", catalog=False)
+def cross_project_links(spark, sf_dir):
+    k = F.col("p_partkey")
+    target = F.concat(F.when(k % 3 == 0, "/w/alfa/sub/f").when(k % 3 == 1, "/w/alfa/f").otherwise("/w/beta/f"), k, F.lit(".md"))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("part/P"), k).alias("id"), target.alias("target"))
+    projects = spark.createDataFrame([("alfa", "/w/alfa"), ("deep", "/w/alfa/sub"), ("beta", "/w/beta"), ("no", "/w/al")], "project string, root string")
+    return resolve.link_absolute(rows, projects)
+
+
+_WORKS = "WITH w AS (SELECT 'agent' || (user_id % 40) AS agent, 'p' || (user_id % 3) AS project, 'f' || (event_id % 200) AS file, ts FROM events), m AS (SELECT max(ts) AS now FROM w), live AS (SELECT agent, project, max(ts) AS heartbeat, count(*) AS touched FROM w GROUP BY agent, project)"
+
+
+def _events_as_works(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("agent"), F.col("user_id") % 40).alias("agent"), F.concat(F.lit("p"), F.col("user_id") % 3).alias("project"), F.concat(F.lit("f"), F.col("event_id") % 200).alias("file"), "ts")
+
+
+@query(_WORKS + " SELECT agent, project, heartbeat, touched FROM live, m WHERE now - heartbeat < INTERVAL 30 MINUTE", catalog=False)
+def active_works(spark, sf_dir):
+    from graphloom.streaming.registry import active
+
+    return active(_events_as_works(spark, sf_dir))
+
+
+@query(_WORKS + ", r AS (SELECT DISTINCT agent, project, file FROM w, m WHERE now - ts < INTERVAL 3 DAY) SELECT project, file, count(*) AS agents FROM r GROUP BY project, file HAVING count(*) > 1", catalog=False)
+def contested_files(spark, sf_dir):
+    from graphloom.streaming.registry import contested
+
+    return contested(_events_as_works(spark, sf_dir), "3 days")
+
+
+@query("SELECT format('<edge source=\"{}\" target=\"{}\"><data key=\"etype\">{}</data></edge>', source, target, type) AS line FROM edges")
+def graphml_lines(spark, sf_dir):
+    from graphloom.plans.export import graphml_edges
+
+    return graphml_edges(catalog_graph(spark, sf_dir)).select("line")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
