@@ -109,7 +109,7 @@ def human(size: Column) -> Column:
     """Bytes with a unit: whole below 1024, else one decimal."""
     out = F.format_string("%d B", size)
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**k, F.format_string("%.1f " + unit, size / float(1024**k))).otherwise(out)
+        out = F.when(size >= 1024**k, F.format_string("%.1f " + unit, F.bround(size / float(1024**k), 1))).otherwise(out)
     return out
 
 

@@ -48,8 +48,13 @@ def references(text: Column) -> Column:
         tagged(F.regexp_extract_all(text, F.lit(PROSE), 1), "path"),
     )
     some = F.filter(every, lambda r: r["target"] != "")
-    names = F.transform(some, lambda r: r["target"])
-    return F.filter(some, lambda r, i: F.array_position(names, r["target"]) == i + 1)
+
+    def first_seen(held: Column) -> Column:
+        names = F.transform(held, lambda q: q["target"])
+        return F.filter(held, lambda r, i: F.array_position(names, r["target"]) == i + 1)
+
+    # a one-element array binds the findings to a name, so that they are computed once
+    return F.get(F.transform(F.array(some), first_seen), F.lit(0))
 
 
 def decision_ids(text: Column, prefixes: tuple[str, ...] = ()) -> Column:

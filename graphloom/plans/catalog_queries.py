@@ -291,7 +291,7 @@ def why_path(spark, sf_dir):
 
 # -- retrieval -------------------------------------------------------------------------
 
-_TOK = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), x -> length(x) >= 2)"
+_TOK = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 2)"
 
 
 @query(
@@ -468,7 +468,7 @@ def focus_recency(spark, sf_dir):
 # -- extraction and resolution -------------------------------------------------------------
 
 
-@query("SELECT page_id, len(h) AS links, array_to_string(h, ' ') AS targets FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"([^\"]{1,2000})\"', 1), x -> x <> '') AS h FROM pages)", catalog=False)
+@query("SELECT page_id, len(h) AS links, array_to_string(h, ' ') AS targets FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"([^\"]{1,2000})\"', 1), lambda x: x <> '') AS h FROM pages)", catalog=False)
 def html_links(spark, sf_dir):
     h = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]{1,2000})"'), 1), lambda x: x != "")
     return table(spark, sf_dir, "pages").select("page_id", F.size(h).cast("bigint").alias("links"), F.array_join(h, " ").alias("targets"))
@@ -513,8 +513,8 @@ def _doc_refs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Raw references from orders' notes: a good relative link, one from the root, a unique name, a broken one, one outside."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     note = F.concat(
-        F.lit("see [c](../customer/C"), "o_custkey", F.lit(".csv) and [again](customer/C"), "o_custkey", F.lit(".csv#top) `[no](x.md)` then [[C"), "o_custkey",
-        F.lit("]] and [gone](missing/M"), "o_orderkey", F.lit(".md) also [out](../../other/X"), "o_orderkey", F.lit(".md) [web](https://example.com/a.md) [m](mailto:a@b.c) C"), "o_custkey", F.lit(".csv"),
+        F.lit("see [c](../customer/C"), "o_custkey", F.lit(".csv) and [again](customer/C"), "o_custkey", F.lit(".csv#top) `[no](x.zz)` then [[C"), "o_custkey",
+        F.lit("]] and [gone](missing/M"), "o_orderkey", F.lit(".md) also [out](../../other/X"), "o_orderkey", F.lit(".md) [web](https://example.com/a) [m](mailto:a@b.zz) C"), "o_custkey", F.lit(".csv"),
     )
     refs = o.select(F.concat(F.lit("orders/O"), "o_orderkey", F.lit(".md")).alias("source"), F.explode(text.references(note)).alias("r")).select("source", "r.target", "r.kind")
     files = o.select(F.concat(F.lit("orders/O"), "o_orderkey", F.lit(".md")).alias("path")).union(table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/C"), "c_custkey", F.lit(".csv"))))
