@@ -283,10 +283,10 @@ ends AS (SELECT walk FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL
 steps AS (SELECT unnest(range(len(walk))) AS i, walk FROM ends)
 SELECT i::INT AS step, walk[i + 1] AS id,
   (SELECT coalesce(min(type) FILTER (WHERE forward), min(type)) FROM und WHERE a = walk[i] AND b = walk[i + 1]) AS edge,
-  CASE WHEN i > 0 THEN (SELECT bool_or(forward) FROM und WHERE a = walk[i] AND b = walk[i + 1]) END AS forward FROM steps"""
+  CASE WHEN i > 0 THEN (SELECT bool_or(forward) FROM und WHERE a = walk[i] AND b = walk[i + 1]) ELSE true END AS forward FROM steps"""
 )
 def why_path(spark, sf_dir):
-    return traverse.why(catalog_graph(spark, sf_dir), "customer/C7.csv", "customer/C11.csv")
+    return traverse.why(catalog_graph(spark, sf_dir), "customer/C7.csv", "customer/C11.csv").withColumn("forward", F.coalesce("forward", F.lit(True)))
 
 
 # -- retrieval -------------------------------------------------------------------------
@@ -468,9 +468,9 @@ def focus_recency(spark, sf_dir):
 # -- extraction and resolution -------------------------------------------------------------
 
 
-@query("SELECT page_id, len(h) AS links, array_to_string(h, ' ') AS targets FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"([^\"]{1,2000})\"', 1), lambda x: x <> '') AS h FROM pages)", catalog=False)
+@query("SELECT page_id, len(h) AS links, array_to_string(h, ' ') AS targets FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"([^\"]{1,1000})\"', 1), lambda x: x <> '') AS h FROM pages)", catalog=False)
 def html_links(spark, sf_dir):
-    h = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]{1,2000})"'), 1), lambda x: x != "")
+    h = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]{1,1000})"'), 1), lambda x: x != "")
     return table(spark, sf_dir, "pages").select("page_id", F.size(h).cast("bigint").alias("links"), F.array_join(h, " ").alias("targets"))
 
 
