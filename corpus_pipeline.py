@@ -24,11 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies (Jaccard 0.8 on five-word shingles)."""
-    from graphloom.llm.neardup import near_duplicates
+    from graphloom.llm.neardup import drop_copies, near_duplicates
 
-    groups = near_duplicates(docs, threshold=(80, 100))
-    kept = groups.where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    groups = materialise(near_duplicates(docs, threshold=(80, 100)), "pipeline-groups")
+    return drop_copies(docs.select(*COLUMNS), groups)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ one shingle; without words the set is empty and linked with nothing).
 6. Components of the verified links by alternating large and small stars.
 
 Sets are compared as 64-bit hashes of shingles.  With the default bands a pair
-at the threshold of 0.85 is missed with a probability below 1e-6 (2e-4 of that
-at 0.8 with its own bands).  Links, components and sketches stay in tables.
+exactly at the threshold is missed with a probability of 5e-7 (at 0.85) or 1e-5
+(at 0.8), and of far less above it.  Links, components and sketches stay in tables.
 
 Defined results: null and empty texts have n_shingles 0 and are their own
 component; rows that share an id are one document, each row is returned; a null
@@ -50,10 +50,11 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import materialise, slices
 
 SHINGLE = 5
-REGISTERS = 128
+REGISTERS = 256
+BANDS = 36
 BASE, TOP = 1.1, 20.0
 #: Estimates are believed up to so many standard errors.
-SLACK = 5.0
+SLACK = 4.5
 BLOCK = 1024
 #: Size of the bitmap that tells the scan which documents are wanted.
 FILTER_BITS = 1 << 24
@@ -185,9 +186,8 @@ def within_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t
 
 
 def banding(threshold: float) -> tuple[int, int]:
-    """(bands, rows): four rows below 0.85, five from there on."""
-    rows = 4 if threshold < 0.85 else 5
-    return REGISTERS // rows, rows
+    """(bands, rows): six rows below 0.85, seven from there on."""
+    return BANDS, 6 if threshold < 0.85 else 7
 
 
 # -- tables -------------------------------------------------------------------
@@ -236,6 +236,33 @@ def _slot(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Hashes of the ids as a bitmap of a fixed size; at most one number a word reaches the driver."""
+    bits = ids.select(_slot("id").alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("word")).agg(F.bit_or(F.expr("1L << cast(slot % 32 as int)")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    bitmap[[r["word"] for r in bits]] = [r["bits"] for r in bits]
+    return bitmap
+
+
+def _on(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 5] >> (slot & 31).astype(np.uint32) & 1) == 1
+
+
+def drop_copies(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose id is kept; of the others only ids that the bitmap of dropped ones may hold are joined."""
+    dropped = groups.where("not kept").select(F.col(key).alias("id")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(dropped))
+
+    @F.pandas_udf("boolean")
+    def maybe(slot: pd.Series) -> pd.Series:
+        return pd.Series(_on(shared.value, slot.to_numpy()))
+
+    rows = docs.withColumn("__id", F.col(key).cast("bigint"))
+    rows = rows.withColumn("__maybe", maybe(_slot("__id")))
+    joined = rows.where("__maybe").join(dropped.withColumnRenamed("id", "__id"), "__id", "left_anti")
+    return rows.where("not __maybe").unionByName(joined.select(rows.columns)).drop("__id", "__maybe")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """(id, shingles) of the wanted ids, written to the shared folder.
 
@@ -244,15 +271,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, name: str) ->
     would only drop fewer.
     """
     wanted = wanted.select("id").distinct()
-    bits = wanted.select(_slot("id").alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("word")).agg(F.bit_or(F.expr("1L << cast(slot % 32 as int)")).alias("bits")).collect()
-    bitmap = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    bitmap[[r["word"] for r in bits]] = [r["bits"] for r in bits]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32) & 1) == 1))
+            batch = batch.filter(pa.array(_on(shared.value, slot)))
             for first, own in slices(batch.column(1).to_pylist(), SLICE):
                 value, offsets = shingle_sets(own)
                 cut = offsets.tolist()
