@@ -428,7 +428,7 @@ def community_names(spark, sf_dir):
 ends AS (SELECT ls AS label, true AS inside FROM pl WHERE ls = lt UNION ALL SELECT ls, false FROM pl WHERE ls IS NOT NULL AND ls IS DISTINCT FROM lt UNION ALL SELECT lt, false FROM pl WHERE lt IS NOT NULL AND ls IS DISTINCT FROM lt),
 held AS (SELECT label, count(*) FILTER (WHERE inside) AS internal_edges, count(*) FILTER (WHERE NOT inside) AS boundary_edges FROM ends GROUP BY label),
 tops AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY coalesce(degree, 0) DESC, id) AS p FROM comm LEFT JOIN kdeg USING (id)),
-types AS (SELECT label, type, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, type) AS p FROM comm JOIN nodes USING (id) GROUP BY label, type)
+types AS (SELECT comm.label, type, row_number() OVER (PARTITION BY comm.label ORDER BY count(*) DESC, type) AS p FROM comm JOIN nodes USING (id) GROUP BY comm.label, type)
 SELECT name, label, size, (SELECT list(id ORDER BY p) FROM tops WHERE tops.label = nm.label AND p <= 5) AS key_files, (SELECT list(type ORDER BY p) FROM types WHERE types.label = nm.label AND p <= 3) AS dominant_types,
  internal_edges, boundary_edges, round(internal_edges / (internal_edges + boundary_edges), 6) AS cohesion FROM nm JOIN held USING (label)"""
 )
