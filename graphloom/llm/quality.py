@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import code_points, labelled_texts, segment_sums, slices
 
-PER_CLASS = 2500
+PER_CLASS = 1500
 PASSAGE_WORDS = 64
 KINDS = ".,!?#$%&*|-'\":;()/<>{}[]=_@+\\^~`"
 N_KINDS = 7 + len(KINDS)
