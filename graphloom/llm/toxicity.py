@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import labelled_texts
 
-PER_CLASS = 2000
+PER_CLASS = 1200
 WORD = re.compile(r"[^\W\d_]+")
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
 PUNCTUATION = "!|+($"
