@@ -106,3 +106,16 @@ def test_build_from_folder(spark, tmp_path):
     save(g, str(tmp_path / "store"))
     assert load(spark, str(tmp_path / "store")).edges.count() == len(edges)
     assert to_json(g).count('"source"') == len(edges) and "<graphml" in to_graphml(g)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.__main__ import main
+
+    (tmp_path / "a.md").write_text("see [b](b.md)")
+    (tmp_path / "b.md").write_text("text")
+    assert main([str(tmp_path), "build"], spark) == 0
+    assert main([str(tmp_path), "gate"], spark) == 0
+    assert main([str(tmp_path), "impact", "b.md"], spark) == 0
+    assert '"id": "a.md"' in capsys.readouterr().out
+    (tmp_path / "b.md").write_text("changed")
+    assert main([str(tmp_path), "gate"], spark) == 1
