@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT = regex.compile(PATTERN.replace(r"\s", WHITE))
-#: Words kept per Python worker; beyond it the table starts anew.
-CACHED_WORDS = 300_000
+#: Words kept while a task runs; beyond it the table starts anew.
+CACHED_WORDS = 100_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -226,12 +226,19 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        try:
+            yield from encode(c, batches)
+        finally:  # workers are used again by other stages
+            c.ids.clear()
+            c.text.clear()
+
+    def encode(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             start = 0
             while start < len(texts):
                 stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars < 1 << 21):
+                while stop < len(texts) and (stop == start or chars < 1 << 20):
                     chars += len(texts[stop] or "")
                     stop += 1
                 split = [c.words(t) if t else [] for t in texts[start:stop]]
