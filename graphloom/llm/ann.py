@@ -7,12 +7,19 @@ pivots.  Of two orders a and b, cut after PREFIX, the footrule distance with
 absent pivots at rank PREFIX is PREFIX * (PREFIX + 1) minus twice the sum over
 shared pivots of PREFIX - max(rank in a, rank in b); so adding up that term
 over the files ranks all rows.  The nearest share ``RERANK`` of each shard by
-footrule is reranked by the exact cosine on the vectors as given.
+footrule, and whatever ties with the last of it, is reranked by the exact
+cosine on the vectors as given.
 
-Rows are split into shards of about ``SHARD`` rows, queries into blocks of
-about ``QUERY_BLOCK``; each (shard, block) is one task's work, and the best k of
-every shard meet per query: k rows a shard, never all pairs.  Pivots are
-``PIVOTS`` rows with the smallest hashes: a bounded sample; every row is indexed.
+Equal vectors are one entry of the index: each stands with its k + 1 smallest
+ids, of which k are left whatever the query's own id, and an entry that is found
+is replaced by them.  So copies neither crowd out other rows nor one another,
+however many there are.
+
+Rows are split by a hash of the vector into shards of about ``SHARD`` rows,
+queries into blocks of about ``QUERY_BLOCK``; each (shard, block) is one task's
+work, and the best k of every shard meet per query: k rows a shard, never all
+pairs.  Pivots are ``PIVOTS`` vectors of different directions with the smallest
+hashes: a bounded sample; every row is indexed.
 
 The rerank is a share of all rows, not a fixed number, so that recall doesn't
 decline as the table grows.  Recall against brute force on the 64-dimensional
@@ -21,8 +28,8 @@ test vectors is in the README.
 Defined results: a null, empty, zero or non-finite vector (and one with a null
 component) takes no part, as query or candidate; a null id neither; only
 vectors of the query's length are candidates; of rows that share an id each is
-a candidate, though none of the query's own id; ties go to the smaller id; with fewer candidates than k all
-are returned; empty tables give an empty result; other columns are ignored.
+a candidate, though none of the query's own id, and rows equal in id and vector
+count once; ties go to the smaller id; with fewer candidates than k all are returned; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,21 +82,37 @@ def _scaled(raw: np.ndarray) -> np.ndarray:
     return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])
 
 
+def _entries(ids: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a row of each distinct vector, ids, their entries): of each distinct vector the k + 1 smallest ids."""
+    numbers: dict[bytes, int] = {}
+    entry = np.array([numbers.setdefault(r.tobytes(), len(numbers)) for r in raw + 0.0])  # -0.0 equals 0.0
+    rows = np.unique(entry, return_index=True)[1]
+    by = np.lexsort((ids, entry))
+    own, of = ids[by], entry[by]
+    new = np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1]))
+    own, of = own[new], of[new]
+    kept = np.arange(len(of)) - np.searchsorted(of, of) <= k
+    return rows, own[kept], of[kept]
+
+
 def search(ids: np.ndarray, raw: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, rerank: float = RERANK) -> pd.DataFrame:
     """The best k rows of one shard for each query: query_id, vec_id, score."""
     raw, queries = _scaled(raw), _scaled(queries)
+    rows, ids, entry = _entries(ids, raw, k)
+    raw = raw[rows]
     norm, query_norm = np.linalg.norm(raw, axis=1), np.linalg.norm(queries, axis=1)
     shard = Shard(raw / norm[:, None], pivots, PREFIX)
     orders = nearest_pivots(queries / query_norm[:, None], pivots, shard.prefix)
-    take = min(len(ids), max(LEAST, int(np.ceil(rerank * len(ids)))))
+    take = min(len(raw), max(LEAST, int(np.ceil(rerank * len(raw)))))
     out = []
     for q, own, order, length in zip(query_ids, queries, orders, query_norm):
         far = shard.footrule(order)
-        near = np.argpartition(far, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-        near = near[ids[near] != q]
-        score = (raw[near] @ own) / (norm[near] * length)
-        best = np.lexsort((ids[near], -score))[:k]
-        out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near[best]], "score": score[best]}))
+        near = far <= np.partition(far, take - 1)[take - 1]
+        score = np.full(len(raw), -np.inf)
+        score[near] = (raw[near] @ own) / (norm[near] * length)
+        found = np.flatnonzero(near[entry] & (ids != q))
+        best = found[np.lexsort((ids[found], -score[entry[found]]))[:k]]
+        out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": score[entry[best]]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -100,12 +123,15 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 5, key: str =
     sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & finite & F.exists(wide, lambda x: x != 0)
     rows = table.where(F.coalesce(sound, F.lit(False))).select(F.col(key).cast("bigint").alias("vec_id"), wide.alias("v"), F.coalesce(queries, F.lit(False)).alias("query"))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("query").cast("bigint")).alias("q")).collect()
-    chosen = rows.withColumn("h", F.xxhash64("vec_id", F.lit(42))).withColumn("dim", F.size("v"))
-    chosen = chosen.where(F.col("dim").isin([r["dim"] for r in sizes]))
+    largest = F.array_max(F.transform("v", F.abs))
+    direction = F.transform("v", lambda x: F.rint(x / largest * 1e6).cast("bigint"))
+    chosen = rows.withColumn("h", F.xxhash64(direction, F.lit(42))).withColumn("dim", F.size("v"))
     pivots: dict[int, np.ndarray] = {}
     for r in sizes:  # usually a single length
-        found = [x["v"] for x in chosen.where(F.col("dim") == r["dim"]).orderBy("h", "vec_id", "v").limit(PIVOTS).collect()]
-        p = np.array(found)
+        own = chosen.where(F.col("dim") == r["dim"])
+        least = [x["h"] for x in own.select("h").distinct().orderBy("h").limit(PIVOTS).collect()]
+        p = np.array([x["v"] for x in own.where(F.col("h").isin(least)).groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()])
+        p = _scaled(p)
         pivots[r["dim"]] = p / np.linalg.norm(p, axis=1, keepdims=True)
     plan = {r["dim"]: (-(-r["n"] // SHARD), -(-(r["q"] or 0) // QUERY_BLOCK)) for r in sizes}
 
@@ -115,10 +141,13 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 5, key: str =
             c = F.when(F.size("v") == d, F.lit(max(1, p[which]))).otherwise(c)
         return c
 
-    mine = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(7)), n).cast("int")
+    mine = lambda c, n: F.pmod(F.xxhash64(c, F.lit(7)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    shards = rows.select("vec_id", "v", F.size("v").alias("dim"), mine(count(0)).alias("shard"), every(count(1)).alias("block"))
-    blocks = rows.where("query").select("vec_id", "v", F.size("v").alias("dim"), mine(count(1)).alias("block"), every(count(0)).alias("shard"))
+    # of equal vectors the k + 1 smallest ids, cut before they are shuffled
+    copies = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    few = rows.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1)
+    shards = few.select("vec_id", "v", F.size("v").alias("dim"), mine("v", count(0)).alias("shard"), every(count(1)).alias("block"))
+    blocks = rows.where("query").select("vec_id", "v", F.size("v").alias("dim"), mine("vec_id", count(1)).alias("block"), every(count(0)).alias("shard"))
     shared = table.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
 
     def work(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
