@@ -123,7 +123,7 @@ class Matcher:
             for x, start, q in where:
                 item = self.items[x]
                 begin = at + 1 - size - start  # where the item would begin
-                if done.get((x, q), -1) == begin:
+                if done.get((x, q)) == begin:
                     continue  # another piece of the quarter on the same diagonal
                 done[x, q] = begin
                 a, b, masks = item.quarters[q]
