@@ -49,7 +49,8 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[
 AT = re.compile(r" ?(?:\[at\]|\(at\)|\{at\}) ?| at ", re.IGNORECASE)
 WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}) ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 WRITTEN_DOT = re.compile(r"[\[({ ]dot[\])} ]", re.IGNORECASE)
-TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]", re.IGNORECASE)
+#: Every candidate holds one of these: a text without any has none.
+TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]|[\[({ ]dot[\])} ]|(?-i: (?:A[Tt]|aT) )", re.IGNORECASE)
 TLDS = frozenset("com org net edu gov io info biz co uk de fr es it nl eu ch at be us ca au jp cn in br ru mx pl se no dk fi pt".split())
 CALLING = ("1", "20", "27", "30", "31", "32", "33", "34", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")
 IBAN_LENGTH = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "CH": 21, "AT": 20, "PL": 28, "PT": 25, "SE": 24, "DK": 18, "FI": 18, "NO": 15, "IE": 22, "LU": 20}
@@ -104,14 +105,13 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
 def loose_matches(text: str) -> Iterator[tuple[str, int, int]]:
     """Written-out emails, national phone numbers, ssn and iban."""
     low = 0
-    if "at" in text or "AT" in text:
-        for m in AT.finditer(text):
-            own = text[max(low, m.start() - 64) : m.start()]
-            start = m.start() - (len(own) - len(own.rstrip(LOCAL)))
-            d = WRITTEN_DOMAIN.match(text, m.end())
-            if d and start < m.start() and (m.group() != " at " or WRITTEN_DOT.search(d.group())):
-                low = d.end()
-                yield "email", start, d.end()
+    for m in AT.finditer(text):
+        own = text[max(low, m.start() - 64) : m.start()]
+        start = m.start() - (len(own) - len(own.rstrip(LOCAL)))
+        d = WRITTEN_DOMAIN.match(text, m.end())
+        if d and start < m.start() and (m.group() != " at " or WRITTEN_DOT.search(d.group())):
+            low = d.end()
+            yield "email", start, d.end()
     for kind, pattern in (("phone", NATIONAL), ("ssn", SSN), ("iban", IBAN)):
         for m in pattern.finditer(text):
             yield kind, *m.span()
@@ -148,7 +148,7 @@ def _judge(text: str, kind: str, start: int, end: int, base: bool, shape: bool)
 
 def candidates(text: str | None) -> list[Candidate]:
     """Candidates of a whole text; looser ones that touch a base span, or an earlier loose one, are left out."""
-    if not text or not (TRIGGER.search(text) or " dot " in text):
+    if not text or not TRIGGER.search(text):
         return []
     out = [_judge(text, k, a, b, holds, True) for k, a, b, holds in base_matches(text)]
     taken = sorted((c.start, c.end) for c in out if c.base)
