@@ -12,9 +12,11 @@
 
 The lexicon is chosen greedily by how many toxic training documents an entry
 explains that no chosen entry does yet, among those that are much rarer in the
-others.  It and the character model are learnt from at most about
-``PER_CLASS`` labelled documents of each class, so that the driver's memory is
-bounded.  Scoring covers whole texts of all rows, map only.
+others.  It and its weights are learnt from at most about ``PER_CLASS``
+labelled documents of each class, so that the driver's memory is bounded.  The
+character model counts the letters of the whole texts of all documents, with or
+without a label; only its table of distinct trigrams, which the languages'
+alphabets bound, is gathered.  Scoring covers whole texts of all rows, map only.
 
 Defined results: a null text counts as empty; an empty one has no lexicon word
 and gets the score of such texts; without labels of both classes every score is
@@ -30,13 +32,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import labelled_texts
+from graphloom.llm.common import code_points, labelled_texts, slices
 
 PER_CLASS = 1200
 WORD = re.compile(r"[^\W\d_]+")
@@ -193,21 +197,60 @@ def suspicious(low: str) -> list[tuple[int, int]]:
     return out
 
 
-def _character_model(words: Counter[str], boost: list[str]) -> dict[str, float]:
-    """Costs (negative log probabilities) of letters after two, one and no letters."""
-    seen = Counter({w: min(n, 50) for w, n in words.items()})
-    heavy = max(1, sum(seen.values()) // (4 * max(1, len(boost))))
-    for w in boost:
-        seen[w] += heavy
-    tri, two, bi, one, uni = Counter(), Counter(), Counter(), Counter(), Counter()
-    for w, n in seen.items():
+def _trigrams(words: Counter[str]) -> Counter[str]:
+    """Counts of three letters in a row; ^^ stands before a word and $ after it."""
+    tri: Counter[str] = Counter()
+    for w, n in words.items():
         padded = f"^^{w}$"
         for i in range(2, len(padded)):
             tri[padded[i - 2 : i + 1]] += n
-            two[padded[i - 2 : i]] += n
-            bi[padded[i - 1 : i + 1]] += n
-            one[padded[i - 1]] += n
-            uni[padded[i]] += n
+    return tri
+
+
+@lru_cache(1)
+def _is_letter() -> np.ndarray:
+    """For each code point, whether WORD takes it."""
+    return np.array([(c := chr(i)).isalnum() and not c.isdecimal() for i in range(0x110000)])
+
+
+def _trigram_codes(texts: list[str]) -> pd.Series:
+    """As _trigrams, for the words of texts: counts by the three code points, 21 bits each."""
+    points = code_points("\n\n" + "\n".join(t.lower() for t in texts) + "\n").astype(np.int64)
+    letter = _is_letter()[points]
+    at = np.flatnonzero(letter[2:] | letter[1:-1]) + 2  # letters, and the first character after a word
+    third = np.where(letter[at], points[at], ord("$"))
+    second = np.where(letter[at - 1], points[at - 1], ord("^"))
+    first = np.where(letter[at - 1] & letter[at - 2], points[at - 2], ord("^"))
+    return pd.Series(first << 42 | second << 21 | third).value_counts(sort=False)
+
+
+def count_trigrams(docs: DataFrame, text: str = "text") -> Counter[str]:
+    """Trigrams of the words of all whole texts, summed up per task and then by a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tri: Counter[int] = Counter()
+        for batch in batches:
+            for _, own in slices(t.as_py() for t in batch.column(0)):
+                found = _trigram_codes(own)
+                tri.update(dict(zip(found.index.tolist(), found.tolist())))
+        if tri:
+            grams = [chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in tri]
+            yield pa.RecordBatch.from_pydict({"gram": grams, "n": list(tri.values())})
+
+    found = docs.select(text).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return Counter({r[0]: r[1] for r in found.collect()})
+
+
+def _character_model(seen: Counter[str], boost: list[str]) -> dict[str, float]:
+    """Costs (negative log probabilities) of letters after two, one and no letters, from trigram counts."""
+    total = sum(n for g, n in seen.items() if g[2] == "$")
+    tri = seen + _trigrams(Counter({w: max(1, total // (4 * len(boost))) for w in boost}))
+    two, bi, one, uni = Counter(), Counter(), Counter(), Counter()
+    for g, n in tri.items():
+        two[g[:2]] += n
+        bi[g[1:]] += n
+        one[g[1]] += n
+        uni[g[2]] += n
     total = sum(uni.values()) or 1
     grams = {k: -math.log(n / total) for k, n in uni.items()}
     grams |= {k: -math.log(n / one[k[0]]) for k, n in bi.items()}
@@ -222,12 +265,12 @@ def _features(text: str, among: set[str] | None = None) -> set[str]:
     return {f"{f}>={k}" for f, n in counts.items() for k in LEVELS if n >= k}
 
 
-def fit(texts: list[str], labels: list[int], counts: dict[int, int], least_gain: float = 0.01, most: int = 300) -> Model:
-    """Greedy cover of the toxic texts by lexicon features, then a logistic fit of their weights."""
+def fit(texts: list[str], labels: list[int], counts: dict[int, int], trigrams: Counter[str], least_gain: float = 0.01, most: int = 300) -> Model:
+    """Greedy cover of the toxic texts by lexicon features, then a logistic fit of their weights; trigrams: of the corpus."""
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     if len(set(labels)) < 2:
-        return Model(prior)
+        return Model(prior, grams=_character_model(trigrams, []))
     pos, neg = [t for t, y in zip(texts, labels) if y == 1], [t for t, y in zip(texts, labels) if y != 1]
     n1, n0 = len(pos), len(neg)
     forms: Counter[str] = Counter()
@@ -283,22 +326,22 @@ def fit(texts: list[str], labels: list[int], counts: dict[int, int], least_gain:
         if odds[f] > 4:
             w[i] = max(w[i], min(8.0, odds[f]))
     names = frozenset(f.partition(">=")[0] for f in chosen)
-    words: Counter[str] = Counter(v for t in texts for v in WORD.findall(t.lower()))
+    words = {v for t in texts for v in WORD.findall(t.lower())}
     heavy = [v for v in words if len(v) > 2 and any(f in names for f in _forms(v))]
-    return Model(prior, {f: float(w[i]) for f, i in place.items()}, float(w[-1]), _character_model(words, sorted(heavy)), names)
+    return Model(prior, {f: float(w[i]) for f, i in place.items()}, float(w[-1]), _character_model(trigrams, sorted(heavy)), names)
 
 
 def train_model(docs: DataFrame, labels: DataFrame, use: Column | None = None, label: str = "toxic", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    """Fits on labelled rows where ``use`` holds; by default crc32(key) mod 4 is not 2."""
+    """Fits on labelled rows where ``use`` holds; by default crc32(key) mod 4 is not 2.  Letters are counted in all rows."""
     use = F.crc32(F.col(key).cast("string")) % 4 != 2 if use is None else use
     rows, counts = labelled_texts(docs, labels, label, use, key, text, per_class)
-    return fit([t for t, _ in rows], [y for _, y in rows], counts)
+    return fit([t for t, _ in rows], [y for _, y in rows], counts, count_trigrams(docs, text))
 
 
 def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", restored: bool = False) -> DataFrame:
     """(key, score, hits[, restored]) of every row."""
     rows = docs.select(key, text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_CLASS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_CLASS and the alphabets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
