@@ -389,6 +389,13 @@ def god_nodes(spark, sf_dir):
     return rank.god_nodes(g, rank.pagerank(g, max_iter=10, tol=0.0)).withColumn("score", F.round("score", 6))
 
 
+@query()
+def god_nodes_converged(spark, sf_dir):
+    """As god_nodes, whose SQL has ten rounds unrolled, with ranks that have converged."""
+    g = catalog_graph(spark, sf_dir)
+    return rank.god_nodes(g, rank.pagerank(g)).withColumn("score", F.round("score", 6))
+
+
 # -- communities ------------------------------------------------------------------------
 
 
@@ -452,17 +459,17 @@ def surprising_edges(spark, sf_dir):
 
 @query()
 def focus_global(spark, sf_dir):
-    return focus.focus_nodes(catalog_graph(spark, sf_dir), "zzz no such term", 2000, max_iter=10)
+    return focus.focus_nodes(catalog_graph(spark, sf_dir), "zzz no such term", 2000)
 
 
 @query()
 def focus_personalised(spark, sf_dir):
-    return focus.focus_nodes(catalog_graph(spark, sf_dir), "supplier design N3", 1500, max_iter=10)
+    return focus.focus_nodes(catalog_graph(spark, sf_dir), "supplier design N3", 1500)
 
 
 @query()
 def focus_recency(spark, sf_dir):
-    return focus.focus_nodes(catalog_graph(spark, sf_dir), "customer C7", 1000, recency=0.5, max_iter=10)
+    return focus.focus_nodes(catalog_graph(spark, sf_dir), "customer C7", 1000, recency=0.5)
 
 
 # -- extraction and resolution -------------------------------------------------------------
