@@ -1,4 +1,4 @@
-"""From a folder to a property graph, whole or incrementally."""
+"""From a folder to a property graph, as a whole; reuse() is a part of an incremental build that nothing calls yet."""
 
 from __future__ import annotations
 
