@@ -31,11 +31,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within its error budget."""
-    from graphloom.llm.decontaminate import find_leaks
+    """Drops rows that hold a benchmark item within its error budget, each by its own text; null and repeated ids don't matter."""
+    from graphloom.llm.decontaminate import without_leaks
 
-    leaked = find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    return without_leaks(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

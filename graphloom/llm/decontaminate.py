@@ -191,14 +191,36 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], key: str, text: str) ->
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, item_id bigint, start bigint, end bigint, distance bigint")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, start, end, distance): items that occur in the rows' texts within their error budget."""
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most about BLOCK_CHARS characters."""
     items = benchmark.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("t")).where("t is not null and item is not null")
     total = items.agg(F.sum(F.length("t"))).collect()[0][0] or 0
     blocks = int(total // BLOCK_CHARS) + 1
-    parts = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        held = sorted({(r["item"], n) for r in own.collect() if (n := normal(r["t"]))})
-        parts.append(_scan(docs, held, key, text))
+        yield sorted({(r["item"], n) for r in own.collect() if (n := normal(r["t"]))})
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item_id, start, end, distance): items that occur in the rows' texts within their error budget."""
+    parts = [_scan(docs, held, key, text) for held in _blocks(benchmark, item_key, item_text)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts hold no item; each row is judged by itself, whatever its id."""
+    for held in _blocks(benchmark, item_key, item_text):
+        docs = _keep(docs, held, text)
+    return docs
+
+
+def _keep(docs: DataFrame, items: list[tuple[int, str]], text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most about BLOCK_CHARS
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
