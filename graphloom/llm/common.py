@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_ORDER_SEED = 42
+#: Labelled texts of more characters aren't trained on.
+LONGEST_TRAINED = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,7 +37,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*held: DataFrame) -> None:
+    """Removes what ``materialise`` wrote, once nothing will read it any more."""
+    for df in held:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs pass at most so many rows at once to Python workers: for rows that hold whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system at its end: idle workers of an executor add up."""
+
+    def call(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only the GNU C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return call
 
 
 def held_out(col: str, mod: int, rest: int) -> Column:
@@ -89,12 +130,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, use: Column,
     """(text, label) of at most about ``per_class`` labelled rows of each class, and all classes' counts.
 
     Null labels and keys are left out; of a key that is labelled more than once
-    the smallest label counts.  The chosen keys are broadcast: their number is
-    bounded by ``per_class``.
+    the smallest label counts, and of rows that share a key the smallest text.
+    The chosen keys are broadcast: their number is bounded by ``per_class``.
     """
     rows = labels.where(use & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
     counts = {int(r[0]): int(r[1]) for r in rows.groupBy("__label").count().collect()}
     chosen = sample_by_class(rows, "__label", key, per_class).select(F.col(key).alias("__key"), "__label")
     own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    found = own.join(F.broadcast(chosen), "__key").select("__text", "__label").collect()
+    # rows that share an id count once; very long texts train nothing, so that a sample's size has a bound
+    own = own.where(F.coalesce(F.length("__text"), F.lit(0)) <= LONGEST_TRAINED)
+    found = own.join(F.broadcast(chosen), "__key").groupBy("__key").agg(F.min("__text").alias("t"), F.min("__label").alias("l")).select("t", "l").collect()
     return sorted((r[0] or "", int(r[1])) for r in found), counts
