@@ -10,8 +10,8 @@ together, one merge each per step.
 Vocabulary, merges and special tokens are read from a public ``tokenizer.json``
 whose path is a parameter: the file must exist at that path on every executor.
 Normalisation is NFC, white space to blanks and lower case character by
-character; words are split as the file's pattern says; special tokens are found
-in the raw text.  Only this family of files is accepted, others raise an error.
+character; words are split as the file's pattern says, with classes of characters
+as the library has them (``unicode_classes``); special tokens are found in the raw text.  Only this family of files is accepted, others raise an error.
 
 Defined results: null and empty texts give no tokens and an empty decoded
 text; whole texts of any length are encoded; every row gives one row, repeated
@@ -25,15 +25,67 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from graphloom.llm.common import tidy
+from graphloom.llm.unicode_classes import INERT, LETTERS, NUMBERS, SMALL, code_points
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT = regex.compile(PATTERN.replace(r"\s", WHITE))
+
+
+@lru_cache(1)
+def _strange() -> dict[str, str]:
+    """Stand-ins of the code points that the pattern engine here takes for something else than the library does (its
+    tables may be newer): a letter, a digit or a sign."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out: dict[str, str] = {}
+    kinds = ((LETTERS, r"\p{L}", "a"), (NUMBERS, r"\p{N}", "1"))
+    held = [(code_points(packed), {ord(c) for c in regex.findall(p, every)}, sign) for packed, p, sign in kinds]
+    for own, theirs, _ in held:
+        out |= {chr(c): "!" for c in theirs - own}
+    for own, theirs, sign in held:
+        out |= {chr(c): sign for c in own - theirs}
+    return out
+
+
+@lru_cache(1)
+def _inert() -> tuple[frozenset[str], regex.Pattern, dict[str, str]]:
+    """Characters that the library's normal form leaves alone, a pattern of them, and small letters it has beyond str.lower."""
+    held = frozenset(map(chr, code_points(INERT)))
+    small = dict(p.split(":") for p in SMALL.split())
+    return held, regex.compile("([" + "".join(sorted(held)) + "])"), {chr(int(a, 16)): chr(int(b, 16)) for a, b in small.items()}
+
+
+def split_words(text: str) -> list[str]:
+    """Words of a text in normal form: NFC, lower case character by character."""
+    try:
+        text.encode("latin-1")  # nothing there that any tables disagree about, and all of it in NFC
+        return SPLIT.findall(text.lower())
+    except UnicodeEncodeError:
+        used = set(text)
+    inert, pattern, small = _inert()
+    if not inert.isdisjoint(used):
+        text = "".join([unicodedata.normalize("NFC", part) for part in pattern.split(text)])
+    elif not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    # character by character: no final sigma
+    text = text.replace("Σ", "σ").lower()
+    if not small.keys().isdisjoint(used):
+        text = "".join([small.get(c, c) for c in text])
+    strange = _strange()
+    if strange.keys().isdisjoint(set(text)):
+        return SPLIT.findall(text)
+    known = "".join([strange.get(c, c) for c in text])
+    return [text[m.start() : m.end()] for m in SPLIT.finditer(known)]
+
+
 #: Words kept while a task runs; beyond it the table starts anew.
 CACHED_WORDS = 100_000
 NONE = np.iinfo(np.int64).max
@@ -170,10 +222,10 @@ class Codec:
     def words(self, text: str) -> list[str]:
         """Words of a text in order, special tokens as themselves."""
         if self.special_re is None or "<|" not in text:
-            return SPLIT.findall(_normal(text))
+            return split_words(text)
         out: list[str] = []
         for k, part in enumerate(self.special_re.split(text)):
-            out.extend([part] if k % 2 else SPLIT.findall(_normal(part)))
+            out.extend([part] if k % 2 else split_words(part))
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -199,13 +251,6 @@ class Codec:
         return " ".join([self.tokens[i] for i in ids])
 
 
-def _normal(text: str) -> str:
-    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
-    # character by character: no final sigma
-    return text.replace("Σ", "σ").lower()
-
-
 _CODECS: dict[str, Codec] = {}
 
 
@@ -251,7 +296,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 start = stop
 
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key {kind}, n_tokens bigint, ids binary, decoded string")
+    out = rows.mapInArrow(tidy(run), f"key {kind}, n_tokens bigint, ids binary, decoded string")
     return out.withColumnRenamed("key", key)
 
 
