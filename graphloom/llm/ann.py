@@ -15,10 +15,11 @@ ids, of which k are left whatever the query's own id, and an entry that is found
 is replaced by them.  So copies neither crowd out other rows nor one another,
 however many there are.
 
-Rows are split by a hash of the vector into shards of about ``SHARD`` rows,
-queries into blocks of about ``QUERY_BLOCK``; each (shard, block) is one task's
-work, and the best k of every shard meet per query: k rows a shard, never all
-pairs.  Pivots are ``PIVOTS`` vectors of different directions with the smallest
+Rows are split by a hash of the vector into shards, queries into blocks, both of
+about ``VALUES`` numbers (and a shard of ``SHARD`` rows), whatever the vectors' length; each (shard, block) is
+one task's work, and the best k of every shard meet per query: k rows a shard,
+never all pairs.  Each row is sent once to each block of queries and each query
+once to each shard, so the blocks are as large as a worker's memory allows.  Pivots are ``PIVOTS`` vectors of different directions with the smallest
 hashes: a bounded sample; every row is indexed.
 
 The rerank is a share of all rows, not a fixed number, so that recall doesn't
@@ -27,9 +28,10 @@ test vectors is in the README.
 
 Defined results: a null, empty, zero or non-finite vector (and one with a null
 component) takes no part, as query or candidate; a null id neither; only
-vectors of the query's length are candidates; of rows that share an id each is
-a candidate, though none of the query's own id, and rows equal in id and vector
-count once; ties go to the smaller id; with fewer candidates than k all are returned; empty tables give an empty result; other columns are ignored.
+vectors of the query's length are candidates; rows that share an id are one
+candidate, as near as the nearest of them, and queries that share an id are
+answered together; no row of the query's own id is a candidate; ties go to the
+smaller id; with fewer candidates than k all are returned; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,16 +47,21 @@ from pyspark.sql.window import Window
 PIVOTS = 256
 PREFIX = 64
 RERANK = 0.25
-#: At least so many rows of a shard are reranked: small tables are searched whole.
+#: At least so many rows of a shard are reranked: in small tables more than the share, never fewer.
 LEAST = 200
-SHARD = 16_384
-QUERY_BLOCK = 1_024
+#: Rows of a shard or a block of queries, and the numbers that their vectors hold together, at most about.
+SHARD, VALUES = 65_536, 1 << 21
+#: Rows whose distances to all pivots are held at once.
+STEP = 4_096
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """(rows, prefix) numbers of the nearest pivots by cosine, nearest first."""
-    cosine = vectors @ pivots.T
-    return np.argsort(-cosine, axis=1, kind="stable")[:, :prefix]
+    out = np.zeros((len(vectors), min(prefix, len(pivots))), dtype=np.int32)
+    for i in range(0, len(vectors), STEP):
+        cosine = vectors[i : i + STEP] @ pivots.T
+        out[i : i + STEP] = np.argsort(-cosine, axis=1, kind="stable")[:, :prefix]
+    return out
 
 
 class Shard:
@@ -66,7 +73,7 @@ class Shard:
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
         cut = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-        self.rows = [by[a:b] // self.prefix for a, b in zip(cut, cut[1:])]
+        self.rows = [(by[a:b] // self.prefix).astype(np.int32) for a, b in zip(cut, cut[1:])]
         self.ranks = [(by[a:b] % self.prefix).astype(np.int32) for a, b in zip(cut, cut[1:])]
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
@@ -111,7 +118,8 @@ def search(ids: np.ndarray, raw: np.ndarray, query_ids: np.ndarray, queries: np.
         score = np.full(len(raw), -np.inf)
         score[near] = (raw[near] @ own) / (norm[near] * length)
         found = np.flatnonzero(near[entry] & (ids != q))
-        best = found[np.lexsort((ids[found], -score[entry[found]]))[:k]]
+        found = found[np.lexsort((ids[found], -score[entry[found]]))]
+        best = found[np.sort(np.unique(ids[found], return_index=True)[1])[:k]]  # of rows that share an id the nearest
         out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": score[entry[best]]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
@@ -133,7 +141,14 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 5, key: str =
         p = np.array([x["v"] for x in own.where(F.col("h").isin(least)).groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()])
         p = _scaled(p)
         pivots[r["dim"]] = p / np.linalg.norm(p, axis=1, keepdims=True)
-    plan = {r["dim"]: (-(-r["n"] // SHARD), -(-(r["q"] or 0) // QUERY_BLOCK)) for r in sizes}
+    tasks = table.sparkSession.sparkContext.defaultParallelism
+
+    def parts(rows: int, dim: int) -> int:
+        """Shards of at most about VALUES; where they would be few, smaller ones, so that all cores have work."""
+        most = max(1, min(SHARD, VALUES // max(1, dim)))
+        return max(-(-rows // most), min(tasks, -(-rows * 16 // most)))
+
+    plan = {r["dim"]: (parts(r["n"], r["dim"]), -(-(r["q"] or 0) * max(1, r["dim"]) // VALUES)) for r in sizes}
 
     def count(which: int) -> Column:
         c = F.lit(1)
@@ -157,8 +172,8 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 5, key: str =
 
     keys = ("dim", "shard", "block")
     found = shards.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(work, "query_id bigint, vec_id bigint, score double")
-    # queries that share an id are searched one by one: equal answers fall together
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
