@@ -1,17 +1,20 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are compared in lower case with white space runs as one blank.
-An item of m characters may differ from a passage by up to k edits, k + 1 being
-the largest multiple of four up to ``ERROR_RATE`` * m + 1 (k = 0 below four).
-It is split into k + 1 pieces, four quarters of equally many: whatever the k
-edits hit, one quarter has at most (k + 1) / 4 - 1 of them, so one of its
-pieces is intact.  Piece hits are found by an Aho-Corasick automaton; around
-each, first the quarter within its own budget and then the whole item are
-verified with Myers' bit-parallel distance.  Nothing within k edits is missed.
+An item of m characters may differ from a passage by up to k edits, a tenth of m
+(``ERROR_RATE``, rounded down).  It is split into k + 1 pieces: whatever the k
+edits hit, one piece is intact.  The pieces are laid over four quarters (fewer
+if k is below three) as evenly as they go; were more edits in each quarter than
+it has pieces less one, there would be more than k, so some quarter with p
+pieces has at most p - 1 edits and, by the same argument, an intact piece.
+Piece hits are found by an Aho-Corasick automaton; around each, first the quarter
+within its own budget and then the whole item are verified with Myers'
+bit-parallel distance.  Nothing within k edits is missed.
 
 Items are taken in blocks of at most about ``BLOCK_CHARS`` characters, each
-block by a pass of its own, so that the automaton in a worker is bounded
-however many items there are.  Texts are never shuffled.
+block by a pass of its own, so that the automaton in a worker is bounded however
+many items there are, and the driver holds one block at a time.  A worker keeps
+it for a task's duration only.  Texts are never shuffled.
 
 Defined results: null and empty texts hold nothing; null items and those
 without a visible character are never found; an item given twice is reported
@@ -23,19 +26,20 @@ ignored; empty tables give an empty result.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import discard, materialise, tidy
+
 ERROR_RATE = 0.10
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def normal(text: str) -> str:
@@ -43,7 +47,7 @@ def normal(text: str) -> str:
 
 
 def budget(m: int) -> int:
-    return max(1, 4 * int((ERROR_RATE * m + 1) // 4)) - 1 if ERROR_RATE * m + 1 >= 4 else 0
+    return int(ERROR_RATE * m + 1e-9)
 
 
 def _masks(pattern: str) -> dict[str, int]:
@@ -83,18 +87,33 @@ class Item:
     text: str
 
     def __post_init__(self) -> None:
-        self.k = budget(len(self.text))
-        self.masks, self.back = _masks(self.text), _masks(self.text[::-1])
-        n = 4 if self.k else 1
-        cut = [i * len(self.text) // n for i in range(n + 1)]
-        self.quarters = [(a, b, _masks(self.text[a:b])) for a, b in zip(cut, cut[1:])]
-        self.letters = [Counter(self.text[a:b]).most_common() for a, b, _ in self.quarters]
-        self.quarter_budget = (self.k + 1) // 4 - 1 if self.k else 0
+        m = len(self.text)
+        self.k = budget(m)
+        n = min(4, self.k + 1)
+        #: Pieces of each quarter; it may have one edit less.
+        self.share = [(q + 1) * (self.k + 1) // n - q * (self.k + 1) // n for q in range(n)]
+        # a quarter is as long as its pieces' share, so that pieces are of about one length
+        cut = [q * (self.k + 1) // n * m // (self.k + 1) for q in range(n + 1)]
+        self.quarters = list(zip(cut, cut[1:]))
+
+    # made when a first hit is verified: most items have none
+
+    @cached_property
+    def masks(self) -> dict[str, int]:
+        return _masks(self.text)
+
+    @cached_property
+    def back(self) -> dict[str, int]:
+        return _masks(self.text[::-1])
+
+    @cached_property
+    def parts(self) -> list[tuple[dict[str, int], list[tuple[str, int]]]]:
+        """Of each quarter: masks, and its letters by how often they occur."""
+        return [(_masks(self.text[a:b]), Counter(self.text[a:b]).most_common()) for a, b in self.quarters]
 
     def pieces(self) -> Iterator[tuple[str, int, int]]:
         """(piece, its start, its quarter)."""
-        per = self.quarter_budget + 1
-        for q, (a, b, _) in enumerate(self.quarters):
+        for q, ((a, b), per) in enumerate(zip(self.quarters, self.share)):
             for j in range(per):
                 start, end = a + j * (b - a) // per, a + (j + 1) * (b - a) // per
                 yield self.text[start:end], start, q
@@ -126,13 +145,14 @@ class Matcher:
                 if done.get((x, q)) == begin:
                     continue  # another piece of the quarter on the same diagonal
                 done[x, q] = begin
-                a, b, masks = item.quarters[q]
-                slack = item.quarter_budget
+                a, b = item.quarters[q]
+                slack = item.share[q] - 1
                 if slack:
+                    masks, letters = item.parts[q]
                     near = low[max(0, begin + a - slack) : begin + b + slack]
                     # each character that the quarter has more often than the passage costs an edit
                     lacking = 0
-                    for c, n in item.letters[q]:
+                    for c, n in letters:
                         if (few := n - near.count(c)) > 0:
                             lacking += few
                             if lacking > slack:
@@ -165,19 +185,12 @@ def _places(text: str) -> list[int]:
     return out
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _scan(docs: DataFrame, items: list[tuple[int, str]], key: str, text: str) -> DataFrame:
-    name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most about BLOCK_CHARS
     rows = docs.select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MATCHERS:
-            _MATCHERS.clear()  # one block at a time in a worker
-            _MATCHERS[name] = Matcher(shared.value)
-        matcher = _MATCHERS[name]
+        matcher = Matcher(shared.value)
         for batch in batches:
             where, found = [], []
             for i, t in enumerate(batch.column(1)):
@@ -188,39 +201,54 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], key: str, text: str) ->
                 columns = [pa.array(c, pa.int64()) for c in zip(*found)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), *columns], [key, "item_id", "start", "end", "distance"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, item_id bigint, start bigint, end bigint, distance bigint")
+    return rows.mapInArrow(tidy(run), f"`{key}` {rows.schema[key].dataType.simpleString()}, item_id bigint, start bigint, end bigint, distance bigint")
+
+
+def _keep(docs: DataFrame, items: list[tuple[int, str]], text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most about BLOCK_CHARS
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
-def _blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most about BLOCK_CHARS characters."""
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, block_chars: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """(the items in blocks of at most about ``block_chars`` characters, whether it is the only one)."""
     items = benchmark.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("t")).where("t is not null and item is not null")
     total = items.agg(F.sum(F.length("t"))).collect()[0][0] or 0
-    blocks = int(total // BLOCK_CHARS) + 1
+    blocks = int(total // block_chars) + 1
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield sorted({(r["item"], n) for r in own.collect() if (n := normal(r["t"]))})
+        yield sorted({(r["item"], n) for r in own.collect() if (n := normal(r["t"]))}), blocks == 1
+
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, item_id, start, end, distance): items that occur in the rows' texts within their error budget.
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, start, end, distance): items that occur in the rows' texts within their error budget."""
-    parts = [_scan(docs, held, key, text) for held in _blocks(benchmark, item_key, item_text)]
+    With several blocks each one's result is written before the next is read.
+    """
+    parts = []
+    for held, only in _blocks(benchmark, item_key, item_text, block_chars):
+        part = _scan(docs, held, key, text)
+        parts.append(part if only else materialise(part, "leaks"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose texts hold no item; each row is judged by itself, whatever its id."""
-    for held in _blocks(benchmark, item_key, item_text):
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows, with all their columns, whose texts hold no item; each row is judged by itself, whatever its id.
+
+    With several blocks what each leaves is written before the next is read.
+    """
+    before = None
+    for held, only in _blocks(benchmark, item_key, item_text, block_chars):
         docs = _keep(docs, held, text)
+        if not only:
+            docs = materialise(docs, "clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
-
-
-def _keep(docs: DataFrame, items: list[tuple[int, str]], text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most about BLOCK_CHARS
-    place = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(place)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
