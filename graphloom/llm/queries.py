@@ -58,7 +58,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     number = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(k)))).cast("bigint").alias(f"n_{k}")
     counts = [number(k) for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +93,18 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+def tokenizer() -> str:
+    """The file of the word-level vocabulary that comes with the public tokenizers."""
+    import public_tokenizers
 
+    return public_tokenizers.path("word_bpe_49k.json")
 
-def op10_bpe(spark: SparkSession, sf_dir: str, path: str = TOKENIZER) -> DataFrame:
+
+def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Every document encoded and decoded; digests of ids and text."""
     from graphloom.llm.bpe import encode_documents
 
-    out = encode_documents(read(spark, sf_dir, "documents"), path)
+    out = encode_documents(read(spark, sf_dir, "documents"), path or tokenizer())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
