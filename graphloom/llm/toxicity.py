@@ -12,8 +12,11 @@
 
 The lexicon is chosen greedily by how many toxic training documents an entry
 explains that no chosen entry does yet, among those that are much rarer in the
-others.  It and its weights are learnt from at most about ``PER_CLASS``
-labelled documents of each class, so that the driver's memory is bounded.  The
+others, at most ``MOST_ENTRIES`` of them.  It and its weights are learnt from at
+most about ``PER_CLASS`` labelled documents of each class, so that the driver's
+memory is bounded: first from their texts as they are, which makes a channel
+model good enough to restore them, then from the restored texts, so that
+disguised words are learnt as what they stand for.  The
 character model counts the letters of the whole texts of all documents, with or
 without a label; only its table of distinct trigrams, which the languages'
 alphabets bound, is gathered.  Scoring covers whole texts of all rows, map only.
@@ -53,6 +56,8 @@ THRICE = re.compile(r"([^\W\d_])\1\1|(?:([^\W\d_])\2){3}")
 SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_@$!|+]){3,}(?![^\W_])|(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]|[ .\-_*~][@$!|+]){3,}(?![^\W_])")
 GAP = re.compile(r"\s")
 EDGE = ".,;:?\"'()[]{}<>#%&*=~`^/\\"
+#: Entries of the lexicon at most.
+MOST_ENTRIES = 300
 #: Restorations kept per Python worker; beyond it the table starts anew.
 CACHED = 200_000
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -265,7 +270,7 @@ def _features(text: str, among: set[str] | None = None) -> set[str]:
     return {f"{f}>={k}" for f, n in counts.items() for k in LEVELS if n >= k}
 
 
-def fit(texts: list[str], labels: list[int], counts: dict[int, int], trigrams: Counter[str], least_gain: float = 0.01, most: int = 300) -> Model:
+def fit(texts: list[str], labels: list[int], counts: dict[int, int], trigrams: Counter[str], least_gain: float = 0.01, most: int = MOST_ENTRIES) -> Model:
     """Greedy cover of the toxic texts by lexicon features, then a logistic fit of their weights; trigrams: of the corpus."""
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
@@ -335,7 +340,15 @@ def train_model(docs: DataFrame, labels: DataFrame, use: Column | None = None, l
     """Fits on labelled rows where ``use`` holds; by default crc32(key) mod 4 is not 2.  Letters are counted in all rows."""
     use = F.crc32(F.col(key).cast("string")) % 4 != 2 if use is None else use
     rows, counts = labelled_texts(docs, labels, label, use, key, text, per_class)
-    return fit([t for t, _ in rows], [y for _, y in rows], counts, count_trigrams(docs, text))
+    return fit_restored([t for t, _ in rows], [y for _, y in rows], counts, count_trigrams(docs, text))
+
+
+def fit_restored(texts: list[str], labels: list[int], counts: dict[int, int], trigrams: Counter[str]) -> Model:
+    """Fits twice: what is learnt from the texts as they are restores them, and the lexicon is learnt anew from that."""
+    first = fit(texts, labels, counts, trigrams)
+    if not first.lexicon:
+        return first
+    return fit([first.restored_text(t) for t in texts], labels, counts, trigrams)
 
 
 def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", restored: bool = False) -> DataFrame:
