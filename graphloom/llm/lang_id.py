@@ -101,7 +101,7 @@ def _pieces(texts: list[str], most: int) -> Iterator[tuple[list[int], int, list[
                 yield [i], min(a, 2), [t[max(0, a - 2) : a + most]]
         else:
             run.append(i)
-            size += len(t) + 1
+            size += len(t) + 2
     if run:
         yield run, 0, [texts[j] for j in run]
 
@@ -120,8 +120,8 @@ class Model:
         n, letters = np.zeros(len(texts)), np.zeros(len(texts))
         for who, context, pieces in _pieces(texts, max(1 << 10, CELLS // self.codes.shape[1])):
             size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-            points = code_points(" ".join(pieces))
-            ends = np.cumsum(size + 1) - 1
+            points = code_points("  ".join(pieces))  # two blanks: no gram reaches into the text before
+            ends = np.cumsum(size + 2) - 2
             starts = ends - size + context
             grams, counts = ngram_ids(points)
             value = self.table[0][grams[0]]
