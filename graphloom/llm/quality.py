@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import code_points, labelled_texts, segment_sums, slices
+from graphloom.llm.common import code_points, labelled_texts, segment_sums, slices, tidy
 
 PER_CLASS = 1500
 PASSAGE_WORDS = 64
@@ -71,9 +71,10 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             words_in.append((len(run), len(set(run))))
         first.append(len(pieces))
     size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    points = np.minimum(code_points(" ".join(pieces)), 0x3000)
+    # a blank after the last passage too, so that each has the same features wherever it stands
+    points = np.minimum(code_points(" ".join([*pieces, ""])), 0x3000)
     kind = _classes()[points].astype(np.int64)
-    owner = np.repeat(np.arange(len(pieces)), size + 1)[: len(points)]
+    owner = np.repeat(np.arange(len(pieces)), size + 1)
     counts = np.bincount(owner * N_KINDS + kind, minlength=len(pieces) * N_KINDS).reshape(-1, N_KINDS).astype(float)
     n = np.array(words_in, dtype=float).reshape(-1, 2)
     chars = np.maximum(size, 1)[:, None]
@@ -119,6 +120,30 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
     return _sigmoid(z @ w["c"] + w["d"]), h, v, u, share, z, owner
 
 
+def loss(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray, each: np.ndarray) -> float:
+    """Weighted cross-entropy with a small penalty on encoder and scorer."""
+    p = np.clip(_forward(w, x, first)[0], 1e-15, 1 - 1e-15)
+    return float(-(each * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() + 5e-5 * ((w["c"] ** 2).sum() + (w["E"] ** 2).sum()))
+
+
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray, each: np.ndarray) -> dict[str, np.ndarray]:
+    """Of ``loss``, through scorer, attention and encoder."""
+    p, h, v, u, share, z, owner = _forward(w, x, first)
+    dz_out = (p - y) * each
+    g = {"c": z.T @ dz_out + 1e-4 * w["c"], "d": dz_out.sum(keepdims=True)}
+    dz = dz_out[:, None] * w["c"][None, :]
+    inner = (h * dz[owner]).sum(1)
+    base = segment_sums(share * inner, first[:-1], first[1:])
+    dlogit = share * (inner - base[owner])
+    g["a"] = (v * u).T @ dlogit
+    dv = dlogit[:, None] * w["a"] * u * (1 - v * v)
+    du = dlogit[:, None] * w["a"] * v * u * (1 - u)
+    g["V"], g["U"] = h.T @ dv, h.T @ du
+    dh = (share[:, None] * dz[owner] + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
+    g["E"], g["e"] = x.T @ dh + 1e-4 * w["E"], dh.sum(0)
+    return g
+
+
 def fit(texts: list[str], labels: list[int], prior: float, steps: int = 250, rate: float = 0.02, seed: int = 7) -> Model:
     """Full-batch Adam on class-balanced cross-entropy; the scorer's bias is then set to the classes' prior."""
     y = np.array(labels, dtype=float)
@@ -140,19 +165,7 @@ def fit(texts: list[str], labels: list[int], prior: float, steps: int = 250, rat
     m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     for step in range(1, steps + 1):
-        p, h, v, u, share, z, owner = _forward(w, x, first)
-        dz_out = (p - y) * each
-        g = {"c": z.T @ dz_out + 1e-4 * w["c"], "d": dz_out.sum(keepdims=True)}
-        dz = dz_out[:, None] * w["c"][None, :]
-        inner = (h * dz[owner]).sum(1)
-        base = segment_sums(share * inner, first[:-1], first[1:])
-        dlogit = share * (inner - base[owner])
-        g["a"] = (v * u).T @ dlogit
-        dv = dlogit[:, None] * w["a"] * u * (1 - v * v)
-        du = dlogit[:, None] * w["a"] * v * u * (1 - u)
-        g["V"], g["U"] = h.T @ dv, h.T @ du
-        dh = (share[:, None] * dz[owner] + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
-        g["E"], g["e"] = x.T @ dh + 1e-4 * w["E"], dh.sum(0)
+        g = gradient(w, x, first, y, each)
         for k in w:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
@@ -181,4 +194,4 @@ def score_quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str
                 n = [max(1, -(-len(t.split()) // PASSAGE_WORDS)) for t in texts]
                 yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(first, len(texts)), "score": shared.value.score(texts), "passages": pa.array(n, pa.int64())})
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, score double, passages bigint")
+    return rows.mapInArrow(tidy(run), f"`{key}` {rows.schema[key].dataType.simpleString()}, score double, passages bigint")
