@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import materialise, slices
+from graphloom.llm.common import discard, materialise, slices, small_batches, tidy
 
 SHINGLE = 5
 REGISTERS = 256
@@ -58,7 +58,11 @@ SLACK = 4.5
 BLOCK = 1024
 #: Size of the bitmap that tells the scan which documents are wanted.
 FILTER_BITS = 1 << 24
-SLICE = 1 << 20
+SLICE = 1 << 19
+#: Rows that hold sets of shingles and go to a Python worker at once.
+BATCH = 1_000
+#: Rounds of stars after which components that still change are an error.
+MOST_ROUNDS = 99
 
 U = np.uint64
 _B = U(0x9E3779B97F4A7C15 | 1)
@@ -215,7 +219,7 @@ def sketch_table(docs: DataFrame, key: str, text: str) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text)).mapInArrow(run, "id bigint, n bigint, cls binary, sig binary")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text)).mapInArrow(tidy(run), "id bigint, n bigint, cls binary, sig binary")
 
 
 def _pairs_in_reach(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -229,7 +233,7 @@ def _pairs_in_reach(pairs: DataFrame, classes: DataFrame, threshold: float) -> D
                 sigs = [np.frombuffer(b"".join(f[c]), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb")]
                 yield f.loc[within_reach(*sigs, f["na"].to_numpy(), f["nb"].to_numpy(), threshold), ["a", "b"]]
 
-    return both.mapInPandas(run, "a bigint, b bigint")
+    return both.mapInPandas(tidy(run), "a bigint, b bigint")
 
 
 def _slot(column: str) -> Column:
@@ -283,7 +287,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, name: str) ->
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(first, len(own)), "shingles": pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
     own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
-    table = own.select("id", "text", _slot("id").alias("slot")).mapInArrow(sets, "id bigint, shingles binary").join(wanted, "id", "left_semi")
+    table = own.select("id", "text", _slot("id").alias("slot")).mapInArrow(tidy(sets), "id bigint, shingles binary").join(wanted, "id", "left_semi")
     # rows that share an id are one document: any of them decides, the largest for all runs alike
     return materialise(table.groupBy("id").agg(F.max("shingles").alias("shingles")), name)
 
@@ -302,7 +306,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                 keep.append(down * common >= up * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(compare), "a bigint, b bigint")
 
 
 def _rare_members(sets: DataFrame, told: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -322,7 +326,7 @@ def _rare_members(sets: DataFrame, told: DataFrame, threshold: tuple[int, int])
                 ids = np.repeat(own.column(0).to_numpy(), size)
                 yield pa.RecordBatch.from_pydict({"id": ids, "n": np.repeat(size, size), "key": np.concatenate(held)})
 
-    tokens = sets.select("id", "shingles").mapInArrow(explode, "id bigint, n bigint, key bigint")
+    tokens = sets.select("id", "shingles").mapInArrow(tidy(explode), "id bigint, n bigint, key bigint")
     shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     rows = tokens.join(shared, "key")
     w = Window.partitionBy("id")
@@ -355,12 +359,15 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
     edges = materialise(links.select("a", "b").distinct(), f"{name}-0")
     digest = None
-    for round_ in range(1, 100):
+    for round_ in range(1, MOST_ROUNDS + 1):
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).collect()[0]
         if tuple(now) == digest or not now[0]:
             break
-        digest = tuple(now)
+        digest, before = tuple(now), edges
         edges = materialise(star(star(edges, True), False), f"{name}-{round_}")
+        discard(before)
+    else:
+        raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
     tops = edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops).groupBy("id").agg(F.min("component").alias("component"))
 
@@ -372,7 +379,9 @@ def _rest(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    # by a stated number: small rows that take long to compare aren't to be coalesced by their bytes
+    tasks = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def pairs_of(g: pd.DataFrame) -> pd.DataFrame | None:
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(-1, REGISTERS)
@@ -402,11 +411,16 @@ def _rest(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
         if carry is not None and (out := pairs_of(carry)) is not None:
             yield out
 
-    return rows.mapInPandas(run, "a bigint, b bigint").distinct()
+    return rows.mapInPandas(tidy(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; threshold is a fraction of integers."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, threshold, key, text)
+
+
+def _near_duplicates(docs: DataFrame, threshold: tuple[int, int], key: str, text: str) -> DataFrame:
     share = threshold[0] / threshold[1]
     bands, rows = banding(share)
     sketches = materialise(sketch_table(docs, key, text), "neardup-sketches")
@@ -428,7 +442,9 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), key
     star = members.join(tops, "key").where("id <> top").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
     star = materialise(_pairs_in_reach(star, one, share), "neardup-pairs")
     ends = star.select(F.explode(F.array("a", "b")).alias("id"))
-    first = materialise(_verified(star, _sets(docs, ends, key, text, "neardup-sets"), threshold), "neardup-links")
+    held = _sets(docs, ends, key, text, "neardup-sets")
+    first = materialise(_verified(star, held, threshold), "neardup-links")
+    discard(star, held)
     told = materialise(components(first, "neardup-cc"), "neardup-first")
 
     placed = members.join(told, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -437,7 +453,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), key
     rest = materialise(_rest(_rare_members(sets, told, threshold), one, share), "neardup-rest")
     second = _verified(rest, sets, threshold)
     links = told.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(second).union(twins)
-    final = components(links, "neardup-cc2")
+    final = materialise(components(links, "neardup-cc2"), "neardup-components")
+    discard(members, first, told, sets, rest)
 
     tops = classes.join(final, "id", "left").select("cls", F.coalesce("component", "id").alias("top"))
     out = sketches.join(tops, "cls", "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("top")).otherwise(F.col("id")).alias("component_id"))
