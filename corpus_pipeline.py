@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialise, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +47,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed unsigned 32-bit, little-endian) and their text."""
     from graphloom.llm.bpe import encode_documents
+    from graphloom.llm.queries import tokenizer
 
-    return encode_documents(docs, TOKENIZER)
+    return encode_documents(docs, tokenizer())
 
 
 STAGES = [
@@ -64,8 +64,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``.
+
+    With a folder, stages are kept there under their names, and those that an
+    earlier run over the same documents finished are read instead of made again.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if folder is None:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            continue
+        path = f"{folder.rstrip('/')}/{name}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
