@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import code_points, labelled_texts, slices
+from graphloom.llm.common import code_points, labelled_texts, slices, tidy
 
 PER_CLASS = 1200
 WORD = re.compile(r"[^\W\d_]+")
@@ -52,14 +52,16 @@ PUNCTUATION = "!|+($"
 SEPARATORS = " .-_*~'"
 SWAP, DROP, REPEAT, SPLIT_COST, DECORATION = 0.5, 0.3, 0.05, 1.0, 9.0
 SIGN = re.compile(r"[0-9@$!|+€¡£*]")
-THRICE = re.compile(r"([^\W\d_])\1\1|(?:([^\W\d_])\2){3}")
+THRICE = re.compile(r"([^\W\d_])\1(?:\1|([^\W\d_])\2([^\W\d_])\3)")
+#: A single character between separators, or one and an end of its token, as a spelled-out word has within a token.
+INNER = re.compile(r"(?:^|[.\-_*~])[^\W_](?:[.\-_*~]|$)")
 SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_@$!|+]){3,}(?![^\W_])|(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]|[ .\-_*~][@$!|+]){3,}(?![^\W_])")
 GAP = re.compile(r"\s")
 EDGE = ".,;:?\"'()[]{}<>#%&*=~`^/\\"
 #: Entries of the lexicon at most.
 MOST_ENTRIES = 300
-#: Restorations kept per Python worker; beyond it the table starts anew.
-CACHED = 200_000
+#: Readings, and tokens, of at most ``SHORT`` characters that are kept while a task runs; beyond it the table starts anew.
+CACHED, SHORT = 100_000, 48
 STEMS = (3, 4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
 
@@ -72,15 +74,19 @@ class Model:
     grams: dict[str, float] = field(default_factory=dict)
     names: frozenset[str] = frozenset()
     known: dict[str, str] = field(default_factory=dict, compare=False)
-    seen: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False)
+    seen: set[str] = field(default_factory=set, compare=False)
+    odd: set[str] = field(default_factory=set, compare=False)
+    telling: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False)
 
     def restore(self, stretch: str) -> str:
         """The likeliest reading of one suspicious stretch (lower case), words parted by blanks."""
-        if stretch not in self.known:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[stretch] = self._viterbi(stretch)
-        return self.known[stretch]
+        if (read := self.known.get(stretch)) is None:
+            read = self._viterbi(stretch)
+            if len(stretch) <= SHORT:
+                if len(self.known) >= CACHED:
+                    self.known.clear()
+                self.known[stretch] = read
+        return read
 
     def _viterbi(self, s: str) -> str:
         # state: the last two letters of the reading -> (cost, reading as a linked list)
@@ -128,36 +134,64 @@ class Model:
 
     def restored_text(self, text: str) -> str:
         """The whole text in lower case, suspicious stretches restored."""
+        return self._read(text)[0]
+
+    def _read(self, text: str) -> tuple[str, list[str], set[str]]:
+        """(restored text, its tokens, its distinct tokens)."""
         low = text.lower()
-        spots = suspicious(low)
-        if not spots:
-            return low
+        tokens = low.split()
+        distinct = set(tokens)
+        self._meet(distinct)
+        # spelled out with blanks, at least two tokens of one character follow one another
+        if self.odd.isdisjoint(distinct) and b"\1\1" not in bytes([len(t) == 1 for t in tokens]):
+            return low, tokens, distinct
         out, last = [], 0
-        for a, b in spots:
+        for a, b in suspicious(low):
             out += [low[last:a], self.restore(low[a:b])]
             last = b
-        out.append(low[last:])
-        return "".join(out)
-
-    def entries(self, word: str) -> tuple[str, ...]:
-        """Lexicon entries that a word counts for: itself and its beginnings."""
-        if word not in self.seen:
-            if len(self.seen) >= CACHED:
-                self.seen.clear()
-            self.seen[word] = tuple(f for f in _forms(word) if f in self.names)
-        return self.seen[word]
-
-    def hits(self, restored: str) -> list[str]:
-        """Lexicon features, as ``entry>=n``."""
-        counts = Counter(e for w in WORD.findall(restored) for e in self.entries(w))
+        if not out:
+            return low, tokens, distinct
+        restored = "".join([*out, low[last:]])
+        tokens = restored.split()
+        distinct = set(tokens)
+        self._meet(distinct)
+        return restored, tokens, distinct
+
+    def _meet(self, distinct: set[str]) -> None:
+        """Judges tokens that weren't met before: whether they are suspicious, and what lexicon entries they hold."""
+        new = distinct.difference(self.seen)
+        if len(self.seen) + len(new) > CACHED or len(self.odd) + len(self.telling) > CACHED:
+            for held in (self.seen, self.odd, self.telling):
+                held.clear()
+            new = distinct
+        for t in new:
+            if len(t) <= SHORT:
+                self.seen.add(t)
+            if INNER.search(t) and len(t) > 1 or _core(t):
+                self.odd.add(t)
+            if found := tuple(f for w in WORD.findall(t) for f in _forms(w) if f in self.names):
+                self.telling[t] = found
+
+    def hits(self, tokens: list[str], distinct: set[str]) -> list[str]:
+        """Lexicon features of a restored text, as ``entry>=n``."""
+        counts: Counter[str] = Counter()
+        for t in distinct & self.telling.keys():
+            n = tokens.count(t)
+            for e in self.telling[t]:
+                counts[e] += n
         return sorted(f for e, n in counts.items() for k in LEVELS if n >= k and (f := f"{e}>={k}") in self.lexicon)
 
+    def forget(self) -> None:
+        """Drops what was kept: workers are used again by other stages."""
+        for held in (self.known, self.seen, self.odd, self.telling):
+            held.clear()
+
     def score(self, text: str | None) -> tuple[float, list[str], str]:
         """(score, lexicon features found, restored text)."""
-        restored = self.restored_text(text or "")
+        restored, tokens, distinct = self._read(text or "")
         if not self.lexicon:
             return self.prior, [], restored
-        found = self.hits(restored)
+        found = self.hits(tokens, distinct)
         z = self.bias + sum(self.lexicon[w] for w in found)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), found, restored
 
@@ -175,6 +209,15 @@ def _spell(path: tuple) -> str:
     return "".join(reversed(out))
 
 
+def _core(token: str) -> str:
+    """What of a token is suspicious, without its edges; empty if nothing is."""
+    core = token.strip(EDGE)
+    # a trailing run of one sign is decoration, as are signs without letters
+    if len(core) > 1 and core[-1] in "!$|+*" and (core[-1] == core[-2] or not core[:-1].isalpha() or core[-1] == "!"):
+        core = core.rstrip("!$|+*")
+    return core if (SIGN.search(core) or THRICE.search(core)) and any(c.isalpha() for c in core) else ""
+
+
 def suspicious(low: str) -> list[tuple[int, int]]:
     """Non-overlapping stretches, ascending; linear in the text."""
     found = [m.span() for m in SPELLED.finditer(low)]
@@ -188,10 +231,7 @@ def suspicious(low: str) -> list[tuple[int, int]]:
             while start > at and not low[start - 1].isspace():
                 start -= 1
             at = end
-            core = low[start:end].strip(EDGE)
-            # a trailing run of one sign is decoration, as are signs without letters
-            core = core.rstrip("!$|+*") if len(core) > 1 and core[-1] in "!$|+*" and (core[-1] == core[-2] or not core[:-1].isalpha() or core[-1] == "!") else core
-            if any(c.isalpha() for c in core) and (SIGN.search(core) or THRICE.search(core)):
+            if core := _core(low[start:end]):
                 a = low.index(core, start)
                 found.append((a, a + len(core)))
     found.sort(key=lambda x: (x[0], -x[1]))
@@ -242,7 +282,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> Counter[str]:
             grams = [chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in tri]
             yield pa.RecordBatch.from_pydict({"gram": grams, "n": list(tri.values())})
 
-    found = docs.select(text).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = docs.select(text).mapInArrow(tidy(run), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return Counter({r[0]: r[1] for r in found.collect()})
 
 
@@ -358,6 +398,12 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        try:
+            yield from score(m, batches)
+        finally:
+            m.forget()
+
+    def score(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, hits, read = [], [], []
             for t in batch.column(1):
@@ -369,4 +415,4 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
             columns = {key: batch.column(0), "score": pa.array(scores, pa.float64()), "hits": pa.array(hits, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(columns | ({"restored": pa.array(read, pa.string())} if restored else {}))
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, score double, hits array<string>" + (", restored string" if restored else ""))
+    return rows.mapInArrow(tidy(run), f"`{key}` {rows.schema[key].dataType.simpleString()}, score double, hits array<string>" + (", restored string" if restored else ""))
