@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 PROGRAM = "py pyw js ts tsx jsx mjs cjs go rs java kt c cc cpp h hpp rb php cs swift scala lua ps1 psm1 sh bash bat cmd sql vcl r".split()
 DATA = "db sqlite sqlite3 duckdb parquet csv tsv jsonl ndjson".split()
 CONFIG = "toml ini cfg conf yaml yml env json xml properties".split()
-CONFIG_NAMES = (".gitignore", ".secondbrainignore", "dockerfile", "caddyfile", "makefile")
+CONFIG_NAMES = (".gitignore", ".graphloomignore", "dockerfile", "caddyfile", "makefile")
 DOC = "md markdown rst txt pdf html htm docx pptx odt".split()
 REFERENCE_DOC = "md markdown rst txt html htm".split()
 STRUCTURE_NAMES = ("readme", "readme.md", "index.md", "changelog.md", "contributing.md", "license", "license.md", "license.txt", "authors", "notice")

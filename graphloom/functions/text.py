@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PROSE_EXTENSIONS = "md markdown rst txt html htm pdf py js ts tsx jsx mjs cjs go rs java kt c cc cpp h hpp rb php cs swift scala lua sh sql toml ini cfg yaml yml json xml csv tsv parquet".split()
+PROSE_EXTENSIONS = "c cc cfg conf cpp cs csv db docx duckdb go h hpp htm html ini java js json jsonl jsx bash markdown md mjs cjs odt parquet pdf php pptx ps1 psm1 py rb rs rst sh sql sqlite toml ts tsv tsx txt vcl xml yaml yml".split()
 FENCED = r"(?s)(```|~~~).*?\1"
-INLINE = r"(`+)[^`\n](?:[^\n]*?[^`\n])?\1(?!`)"
-LINK = r"\]\(\s*<?([^()<>\s]{1,2000})>?(?:\s+[\"'][^\"'\n]{0,200}[\"'])?\s*\)"
-WIKILINK = r"\[\[([^\[\]|#\n]{1,200})(?:#[^\[\]|\n]{0,200})?(?:\|[^\[\]\n]{0,200})?\]\]"
-PROSE = r"(?U)(?<![\w./\\-])((?:[\w.-]+[/\\])*[\w.-]*\w\.(?:" + "|".join(PROSE_EXTENSIONS) + r"))(?![\w/\\-])"
+INLINE = r"(`+)[^\n]{0,2000}?\1"
+LINK = r"\]\(\s*<?([^\s\])>]{1,2000})>?(?:\s*(?:'[^']*'|\"[^\"]*\"))?\s*\)"
+WIKILINK = r"\[\[\s*([^\[\]|#\n]{1,200})(?:#[^\[\]|\n]{0,200})?(?:\|[^\[\]\n]{0,200})?\]\]"
+PROSE = r"(?U)(?<![\w./\\-])([0-9A-Z_a-z][0-9A-Z_a-z./\\-]*\.(?:" + "|".join(PROSE_EXTENSIONS) + r"))\b"
 DECISION = r"\b((?:D-[A-Z]{1,8}-[0-9]{1,5}|ADR-[0-9]{1,5}|RFC-[0-9]{1,5}))\b"
-JS_IMPORT = r"(?:\bimport\s+(?:[\w*{}\s,$]+?\s+from\s+)?|\bexport\s+[\w*{}\s,$]+?\s+from\s+|\b(?:import|require)\s*\(\s*)['\"]([^'\"\n]+)['\"]"
+JS_IMPORT = r"(?:(?:import|export)\s[^`'\"]*?from\s*|import\s*\(?\s*|require\(\s*)[`'\"](\.[^`'\"]+)[`'\"]"
 
 
 def tokenize(text: Column) -> Column:
@@ -32,7 +32,7 @@ def without_code(text: Column) -> Column:
 def clean_target(target: Column) -> Column:
     """Empty for addresses with a scheme; else without anchor and query, with forward slashes."""
     bare = F.translate(F.split_part(F.split_part(F.replace(target, F.lit("`"), F.lit("")), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), "\\", "/")
-    return F.when(target.rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*://|mailto:)"), F.lit("")).otherwise(F.trim(bare))
+    return F.when(F.trim(target).rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*://|mailto:)"), F.lit("")).otherwise(F.trim(bare))
 
 
 def references(text: Column) -> Column:
@@ -67,8 +67,8 @@ def decision_ids(text: Column, prefixes: tuple[str, ...] = ()) -> Column:
 
 def js_imports(source: Column) -> Column:
     """Relative module names that a script imports, in order, each once."""
-    bare = F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", " "), r"(?m)(?<![:'\"])//[^\n]*", " ")
-    return F.filter(F.array_distinct(F.regexp_extract_all(bare, F.lit(JS_IMPORT), 1)), lambda s: s.startswith("."))
+    bare = F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", "")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(JS_IMPORT), 1))
 
 
 def absolute_paths(text: Column) -> Column:

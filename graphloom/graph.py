@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.schema import EDGE_ORDER, KNOWLEDGE
 
@@ -100,7 +99,7 @@ class PropertyGraph:
         """(id, type, edge, total) per edge in edge order; unknown ends have type '?'."""
         near, far = ("source", "target") if direction == "out" else ("target", "source")
         rows = self.edges.where(F.col(near) == node).select(F.col(far).alias("id"), F.col("type").alias("edge"), *EDGE_ORDER[:3])
-        rows = rows.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))
+        rows = rows.join(rows.agg(F.count("*").alias("total")))  # total is one row
         if limit > 0:
             rows = rows.orderBy("ord", "source", "target", "edge").limit(limit)
         types = self.nodes.select("id", "type")

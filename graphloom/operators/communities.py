@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.paths import top_area
 from graphloom.graph import PropertyGraph
-from graphloom.operators.iterate import cut
+from graphloom.operators.iterate import cut, numbered
 from graphloom.schema import KNOWLEDGE
 
 PASSES = 12
@@ -85,8 +85,8 @@ def detect(graph: PropertyGraph, relations: tuple[str, ...] = KNOWLEDGE, passes:
 def names(comm: DataFrame) -> DataFrame:
     """(label, size, name): ``Cluster 1`` is the largest; ties by label."""
     sizes = comm.groupBy("label").agg(F.count("*").alias("size"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "label"))
-    return sizes.select("label", "size", F.concat(F.lit("Cluster "), place.cast("string")).alias("name"))
+    told = numbered(sizes, [F.desc("size"), F.col("label")], "place")
+    return told.select("label", "size", F.concat(F.lit("Cluster "), F.col("place").cast("string")).alias("name"))
 
 
 def summarize(graph: PropertyGraph, comm: DataFrame, relations: tuple[str, ...] = KNOWLEDGE, key_files: int = 5) -> DataFrame:
@@ -107,7 +107,7 @@ def summarize(graph: PropertyGraph, comm: DataFrame, relations: tuple[str, ...]
     files = files.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("key_files"))
     rows = names(comm).join(files, "label").join(types, "label", "left").join(held, "label", "left").fillna(0, ["internal_edges", "boundary_edges"])
     total = F.col("internal_edges") + F.col("boundary_edges")
-    cohesion = F.when(total > 0, F.round(F.col("internal_edges") / total, 6)).otherwise(F.lit(0.0))
+    cohesion = F.when(total > 0, F.bround(F.col("internal_edges") / total, 2)).otherwise(F.lit(0.0))
     return rows.select("name", "label", "size", "key_files", "dominant_types", "internal_edges", "boundary_edges", cohesion.alias("cohesion"))
 
 

@@ -10,7 +10,8 @@ from graphloom.functions.paths import tokens, top_area
 from graphloom.graph import PropertyGraph
 from graphloom.schema import DOCUMENT_TYPES
 
-TEXT_EXTENSIONS = "py pyw js ts tsx jsx md markdown rst txt html htm json toml yaml yml ini cfg csv tsv sql sh xml".split()
+TEXT_EXTENSIONS = "c cc cfg cpp cs css csv go h hpp htm html ini java js json jsonl jsx log markdown md php ps1 psm1 py rb rs rst sh sql toml ts tsx txt xml yaml yml".split()
+EMPTY_BY_CUSTOM = ("__init__.py", "py.typed")
 
 
 def area_types(graph: PropertyGraph) -> DataFrame:
@@ -101,15 +102,30 @@ def gate(graph: PropertyGraph, diff: DataFrame) -> DataFrame:
     return row.withColumn("ok", (F.col("broken") == 0) & (F.col("stale") == 0))
 
 
+def broken_references(graph: PropertyGraph) -> DataFrame:
+    """(id, target) of references that lead nowhere."""
+    if "broken_refs" not in graph.nodes.columns:
+        return graph.nodes.select("id", F.lit(None).cast("string").alias("target")).limit(0)
+    return graph.nodes.select("id", F.explode("broken_refs").alias("target"))
+
+
+def gate_details(graph: PropertyGraph, diff: DataFrame, stamps: DataFrame | None = None) -> DataFrame:
+    """(kind, path, target): what the gate counts, one row each, and files that are compared by stamps only (path)."""
+    none = F.lit(None).cast("string").alias("target")
+    rows = broken_references(graph).select(F.lit("broken").alias("kind"), F.col("id").alias("path"), "target")
+    rows = rows.union(diff.select("change", "path", none)).union(graph.orphans().select(F.lit("orphan"), "id", none))
+    return rows if stamps is None else rows.union(stamps.select(F.lit("stamp-only"), "path", none))
+
+
 def integrity(files: DataFrame) -> DataFrame:
-    """(path, problem) of (path, size, head, tail) of text files: empty, or 16 zero bytes in a row."""
+    """(path, problem) of (path, size, head, tail): empty files, and texts with 16 zero bytes in a row."""
     from graphloom.functions.paths import basename, ext
 
     text = F.ltrim(ext(F.col("path")), F.lit(".")).isin(TEXT_EXTENSIONS)
     zeros = F.unhex(F.lit("00" * 16))
-    empty = (F.col("size") == 0) & ~basename(F.col("path")).isin("__init__.py", "py.typed")
-    torn = F.contains(F.col("head"), zeros) | F.contains(F.col("tail"), zeros)
-    return files.where(text).select("path", F.when(empty, "empty").when(torn, "truncated").alias("problem")).where("problem is not null")
+    empty = (F.col("size") == 0) & ~basename(F.col("path")).isin(*EMPTY_BY_CUSTOM)
+    torn = text & (F.contains(F.col("head"), zeros) | F.contains(F.col("tail"), zeros))
+    return files.select("path", F.when(empty, "empty").when(torn, "truncated").alias("problem")).where("problem is not null")
 
 
 def decision_families(graph: PropertyGraph) -> DataFrame:

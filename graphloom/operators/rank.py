@@ -4,52 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.operators.iterate import cut
+from graphloom.operators.iterate import cut, discard
 from graphloom.schema import KNOWLEDGE
 
 
+#: Bytes of ranks (two numbers a node) up to which each round sends them to all tasks instead of shuffling.
+BROADCAST_BYTES = 32 << 20
+
+
 def pagerank(graph: PropertyGraph, relations: tuple[str, ...] = KNOWLEDGE, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-9, personalization: DataFrame | None = None) -> DataFrame:
     """(id, score) of all nodes.
 
     personalization: (id, weight), the restart distribution; weights of unknown
     ids are ignored, negative ones count as none, and without any it is uniform.
-    Edges need both ends; parallel edges of different types weigh twice.  Each
-    round joins ranks with the edges (shares known beforehand), sums per target
-    (pre-aggregated) and sends two numbers to the driver: dangling mass and change.
+    Edges need both ends; parallel edges of different types weigh twice.
+
+    Nodes are numbered once, so that rounds join and sum numbers.  While all
+    ranks take at most ``BROADCAST_BYTES`` they are sent to the links, which lie
+    partitioned by target, and a round shuffles nothing; beyond that the links
+    lie partitioned by source and a round shuffles ranks and partial sums.  A
+    round is one job: its ranks are written, and the dangling mass and change
+    observed meanwhile.
     """
-    ids = graph.nodes.select("id")
-    edges = graph.of_types(relations).select("source", "target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    out = edges.groupBy("source").agg(F.count("*").alias("d"))
-    links = edges.join(out, "source").select("source", "target", (F.lit(damping) / F.col("d")).alias("share"))
-    links = cut(links)
-    n = ids.count()
+    numbered = cut(graph.nodes.select("id").withColumn("n", F.monotonically_increasing_id()))
+    n = numbered.count()
     if not n:
-        return ids.withColumn("score", F.lit(0.0))
-    base = ids.join(out.select(F.col("source").alias("id"), F.lit(False).alias("dangling")), "id", "left")
+        return numbered.select("id", F.lit(0.0).alias("score"))
+    number = lambda c: numbered.select(F.col("id").alias(c), F.col("n").alias(c[0]))
+    edges = cut(graph.of_types(relations).select("source", "target").join(number("source"), "source").join(number("target"), "target").select("s", "t"))
+    out = edges.groupBy("s").agg(F.count("*").alias("d"))
+    small = n * 16 <= BROADCAST_BYTES
+    links = edges.join(out, "s").groupBy("s", "t").agg(F.sum(F.lit(damping) / F.col("d")).alias("share"))
+    links = links.repartition("t" if small else "s").persist()
+    base = numbered.join(out.select(F.col("s").alias("n"), F.lit(False).alias("dangling")), "n", "left")
     p = F.lit(1.0 / n)
     if personalization is not None:
-        own = personalization.groupBy("id").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w")).join(ids, "id", "left_semi")
+        own = personalization.groupBy("id").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w")).join(numbered.select("id"), "id", "left_semi")
         total = own.agg(F.sum("w")).collect()[0][0] or 0.0
         if total > 0:
             base = base.join(own, "id", "left")
             p = F.coalesce("w", F.lit(0.0)) / total
-    base = cut(base.select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), p.alias("p")))
-    ranks = base.select("id", "dangling", "p", F.lit(1.0 / n).alias("score"))
-    lost = ranks.where("dangling").count() / n
-    for round_ in range(max_iter):
-        gain = links.join(ranks.select(F.col("id").alias("source"), "score"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("gain"))
+    base = base.select("n", F.coalesce("dangling", F.lit(True)).alias("dangling"), p.alias("p")).repartition("n").persist()
+    ranks = base.select("n", "dangling", "p", F.lit(1.0 / n).alias("score"))
+    lost = base.where("dangling").count() / n
+    for _ in range(max_iter):
+        now = ranks.select(F.col("n").alias("s"), F.col("score").alias("given"))
+        gain = links.join(F.broadcast(now) if small else now, "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("share") * F.col("given")).alias("gain"))
         score = F.col("p") * (1 - damping + damping * lost) + F.coalesce("gain", F.lit(0.0))
-        moved = ranks.join(gain, "id", "left").select("id", "dangling", "p", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
-        moved = cut(moved)
-        lost, change = moved.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)), F.sum("change")).collect()[0]
-        ranks = moved.drop("change")
+        moved = ranks.join(gain, "n", "left").select("n", "dangling", "p", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
+        seen = Observation()
+        before, ranks = ranks, cut(moved.observe(seen, F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost"), F.sum("change").alias("change")))
+        discard(before)
+        lost, change = seen.get["lost"], seen.get["change"]
         if change < tol:
             break
-    return ranks.select("id", "score")
+    result = cut(ranks.join(numbered, "n").select("id", "score"))
+    discard(ranks, edges, numbered)
+    for old in (links, base):
+        old.unpersist()
+    return result
 
 
 def personalised(graph: PropertyGraph, seeds: Mapping[str, float] | Iterable[str] | DataFrame, **options) -> DataFrame:

@@ -47,9 +47,15 @@ def resolve_js(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _unique(keys: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """(source, target, hit) where exactly one file other than the source has the key."""
-    found = wanted.join(keys, key).where("source <> path").groupBy("source", "target").agg(F.count("*").alias("n"), F.min("path").alias("hit"))
-    return found.where("n = 1").select("source", "target", "hit")
+    """(source, target, hit) where exactly one file other than the source has the key.
+
+    Files are counted per key first, so a name that thousands of folders have is
+    one row and is never joined with itself.
+    """
+    held = keys.groupBy(key).agg(F.count("*").alias("n"), F.min("path").alias("lo"), F.max("path").alias("hi")).where("n <= 2")
+    lone = F.when((F.col("n") == 1) & (F.col("lo") != F.col("source")), F.col("lo"))
+    other = F.when((F.col("n") == 2) & (F.col("lo") == F.col("source")), F.col("hi")).when((F.col("n") == 2) & (F.col("hi") == F.col("source")), F.col("lo"))
+    return wanted.join(held, key).select("source", "target", F.coalesce(lone, other).alias("hit")).where("hit is not null")
 
 
 def resolve_references(refs: DataFrame, files: DataFrame, listed: DataFrame | None = None, ignored: tuple[str, ...] = (), pruned: tuple[str, ...] = ()) -> DataFrame:

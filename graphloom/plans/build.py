@@ -1,4 +1,4 @@
-"""From a folder to a property graph, as a whole; reuse() is a part of an incremental build that nothing calls yet."""
+"""From a folder to a property graph; an incremental build passes in what it found before, resolution is always of everything."""
 
 from __future__ import annotations
 
@@ -10,28 +10,23 @@ from graphloom.functions.text import decision_ids, js_imports, references
 from graphloom.graph import PropertyGraph, first_by
 from graphloom.operators.iterate import cut
 from graphloom.operators.resolve import reference_lists, resolve_js, resolve_python, resolve_references
+from graphloom.sources.git import sessions
 from graphloom.sources.tree import IGNORED_DIRS, JS, extract, list_files
 
 
-def reuse(listing: DataFrame, cached: DataFrame | None, hashes: DataFrame, root: str) -> DataFrame:
-    """Cached findings where (path, hash) still hold, fresh ones for the rest; ``hashes`` is (path, hash) now."""
-    if cached is None:
-        return extract(listing, root)
-    kept = cached.join(hashes, ["path", "hash"], "left_semi")
-    fresh = extract(listing.join(kept.select("path"), "path", "left_anti"), root)
-    return kept.unionByName(fresh)
+def build_graph(spark: SparkSession, root: str, rules: Rules | None = None, respect_gitignore: bool = False, found: DataFrame | None = None, project: str = "project", files: DataFrame | None = None, decision_prefixes: tuple[str, ...] = (), log: DataFrame | None = None) -> PropertyGraph:
+    """Nodes per file, area, symbol, decision and session; edges resolved against the whole listing.
 
-
-def build_graph(spark: SparkSession, root: str, rules: Rules | None = None, respect_gitignore: bool = False, found: DataFrame | None = None, project: str = "project") -> PropertyGraph:
-    """Nodes per file, area, symbol and decision; edges resolved against the whole listing."""
+    files, found: the listing and findings, where the caller has them already;
+    log: commits, which become sessions.
+    """
     rules = rules or Rules()
-    files = cut(list_files(spark, root, respect_gitignore))
+    files = cut(list_files(spark, root, respect_gitignore) if files is None else files)
     found = cut(extract(files, root) if found is None else found)
-    kind = classify(F.col("path"), rules)
-    for path, forced in rules.overrides.items():
-        kind = F.when(F.col("path") == path, forced).otherwise(kind)
+    forced = spark.createDataFrame(sorted(rules.overrides.items()), "path string, forced string")
+    kind = F.coalesce("forced", classify(F.col("path"), rules))
     none = lambda t: F.lit(None).cast(t)
-    nodes = files.select(F.col("path").alias("id"), kind.alias("type"), basename(F.col("path")).alias("label"), "path", "size")
+    nodes = files.join(forced, "path", "left").select(F.col("path").alias("id"), kind.alias("type"), basename(F.col("path")).alias("label"), "path", "size")
 
     py = found.select(F.col("path").alias("source"), F.explode("imports").alias("i")).select("source", "i.level", "i.module", "i.names")
     e = F.ltrim(ext(F.col("path")), F.lit("."))
@@ -41,7 +36,7 @@ def build_graph(spark: SparkSession, root: str, rules: Rules | None = None, resp
     resolved = cut(resolve_references(refs, files, ignored=tuple(IGNORED_DIRS)))
     imports = resolve_python(py, files).union(resolve_js(js, files)).distinct()
     links = resolved.where("status = 'ok'").select("source", F.col("hit").alias("target")).distinct()
-    mentions = docs.select(F.col("path").alias("source"), F.explode(decision_ids(F.col("text"))).alias("d")).select("source", F.concat(F.lit("decision:"), "d").alias("target"))
+    mentions = docs.select(F.col("path").alias("source"), F.explode(decision_ids(F.col("text"), decision_prefixes)).alias("d")).select("source", F.concat(F.lit("decision:"), "d").alias("target"))
     symbol = lambda c: F.concat("path", F.lit("::"), F.col(c))
     defs = found.select("path", F.explode("defs").alias("d")).select("path", "d.*")
     calls = found.select("path", F.explode("calls").alias("c")).select("path", "c.*")
@@ -54,6 +49,9 @@ def build_graph(spark: SparkSession, root: str, rules: Rules | None = None, resp
         .union(edge(calls.select(symbol("caller").alias("source"), symbol("callee").alias("target")), "calls", 2))
         .union(edge(mentions, "mentions", 3))
     )
+    if log is not None:
+        commits, touched = sessions(log, files)
+        edges = edges.union(edge(touched, "touches", 4))
     edges = cut(first_by(edges, ("source", "target", "type"), ("ord",)))
     inbound = edges.where("type in ('imports', 'references')").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"))
     nodes = nodes.join(inbound, "id", "left").join(reference_lists(resolved), "id", "left")
@@ -67,10 +65,14 @@ def build_graph(spark: SparkSession, root: str, rules: Rules | None = None, resp
         return shape(d if "extra" in d.columns else d.withColumn("extra", none("map<string,string>")))
 
     areas = plain(files.select(top_area(F.col("path")).alias("label")).distinct().withColumn("id", F.concat(F.lit("area:"), "label")), "area")
-    decisions = plain(mentions.select(F.col("target").alias("id"), F.substring("target", 10, 1000).alias("label")).distinct(), "decision")
+    decisions = plain(mentions.select(F.col("target").alias("id"), F.expr("substring(target, 10)").alias("label")).distinct(), "decision")
     extra = F.create_map(F.lit("file"), "path", F.lit("line"), F.col("line").cast("string"), F.lit("kind"), "kind", F.lit("qualname"), "qualname")
     symbols = plain(defs.select(symbol("qualname").alias("id"), F.col("qualname").alias("label"), extra.alias("extra")).dropDuplicates(["id"]), "symbol")
-    return PropertyGraph(cut(nodes.union(areas).union(decisions).union(symbols)), edges, project)
+    nodes = nodes.union(areas).union(decisions).union(symbols)
+    if log is not None:
+        dated = plain(commits.select("id", "label", "extra"), "session").drop("description", "date").join(commits.select("id", "description", "date"), "id")
+        nodes = nodes.unionByName(dated)
+    return PropertyGraph(cut(nodes), edges, project)
 
 
 def save(graph: PropertyGraph, path: str) -> None:

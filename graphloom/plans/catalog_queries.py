@@ -221,14 +221,17 @@ def subgraph_edges(spark, sf_dir):
 
 def _impact_sql(start: str, near: str, far: str, cap: int) -> str:
     """Two levels of the walk, unrolled."""
-    return f""", im AS (SELECT {near} AS via, {far} AS id, type AS edge, source, target FROM edges WHERE type IN ('imports', 'references', 'mentions')),
-s0 AS ({start}),
-l1a AS (SELECT id, arg_min(via, (via, source, target, edge)) AS via, arg_min(edge, (via, source, target, edge)) AS edge FROM im WHERE via IN (SELECT id FROM s0) AND id NOT IN (SELECT id FROM s0) GROUP BY id),
-l1 AS (SELECT * FROM l1a ORDER BY id, edge LIMIT {cap}),
-l2a AS (SELECT id, arg_min(via, (via, source, target, edge)) AS via, arg_min(edge, (via, source, target, edge)) AS edge FROM im WHERE via IN (SELECT id FROM l1) AND id NOT IN (SELECT id FROM s0) AND id NOT IN (SELECT id FROM l1a) GROUP BY id),
-l2 AS (SELECT * FROM l2a ORDER BY id, edge LIMIT {cap}),
-walk AS (SELECT 1 AS depth, id, edge, via FROM l1 UNION ALL SELECT 2, id, edge, via FROM l2),
-ranked AS (SELECT w.depth, w.id, coalesce(n.type, '?') AS type, n.path, w.edge, w.via, coalesce(g.degree, 0) AS degree FROM walk w LEFT JOIN nodes n USING (id) LEFT JOIN gdeg g USING (id))
+    level = "SELECT id, arg_min(via, (via, source, target, edge)) AS via, arg_min(edge, (via, source, target, edge)) AS edge FROM im WHERE via IN (SELECT id FROM {0}) AND id NOT IN (SELECT id FROM {1}) GROUP BY id"
+    return f""", im AS MATERIALIZED (SELECT {near} AS via, {far} AS id, type AS edge, source, target FROM edges WHERE type IN ('imports', 'references', 'mentions')),
+s0 AS MATERIALIZED ({start}),
+l1a AS MATERIALIZED ({level.format("s0", "s0")}),
+l1 AS MATERIALIZED (SELECT * FROM l1a ORDER BY id, edge LIMIT {cap}),
+s1 AS MATERIALIZED (SELECT id FROM s0 UNION SELECT id FROM l1a),
+l2a AS MATERIALIZED ({level.format("l1", "s1")}),
+l2 AS MATERIALIZED (SELECT * FROM l2a ORDER BY id, edge LIMIT {cap}),
+walk AS MATERIALIZED (SELECT 1 AS depth, id, edge, via FROM l1 UNION ALL SELECT 2, id, edge, via FROM l2),
+met AS MATERIALIZED (SELECT id, count(*) AS degree FROM allends WHERE id IN (SELECT id FROM walk) GROUP BY id),
+ranked AS MATERIALIZED (SELECT w.depth, w.id, coalesce(n.type, '?') AS type, n.path, w.edge, w.via, coalesce(g.degree, 0) AS degree FROM walk w LEFT JOIN nodes n USING (id) LEFT JOIN met g USING (id))
 """
 
 
@@ -324,10 +327,10 @@ def focus_seeds(spark, sf_dir):
     return bm25.focus_seeds(catalog_graph(spark, sf_dir), "supplier design N3").withColumn("weight", F.round("weight", 6))
 
 
-@query(f"SELECT doc_id, len(t) AS terms, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)", catalog=False)
+@query(f"SELECT doc_id, len(t) AS terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)", catalog=False)
 def tokenize_docs(spark, sf_dir):
     t = text.tokenize(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("terms"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("terms"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 
 # -- recency ---------------------------------------------------------------------------
@@ -370,17 +373,20 @@ r{i} AS MATERIALIZED (SELECT b.id, b.p * (0.15 + 0.85 * (SELECT coalesce(sum(r.s
     return out + "\n"
 
 
-@query(_pagerank_sql(10, None) + "SELECT id, round(score, 6) AS score FROM r10")
+@query(_pagerank_sql(10, None) + "SELECT id, round(score * (SELECT count(*) FROM nodes), 6) AS score FROM r10")
 def pagerank_10(spark, sf_dir):
-    return rank.pagerank(catalog_graph(spark, sf_dir), max_iter=10, tol=0.0).withColumn("score", F.round("score", 6))
+    """Scores times the number of nodes, so that six decimals are six digits of a mean score."""
+    g = catalog_graph(spark, sf_dir)
+    return rank.pagerank(g, max_iter=10, tol=0.0).withColumn("score", F.round(F.col("score") * g.nodes.count(), 6))
 
 
 _SEEDS = {"customer/C7.csv": 2.0, "part/P5.py": 1.0, "unknown": 4.0, "nation/N3.md": -1.0}
 
 
-@query(_pagerank_sql(10, "SELECT * FROM (VALUES ('customer/C7.csv', 2.0), ('part/P5.py', 1.0)) t(id, w)") + "SELECT id, round(score, 6) AS score FROM r10")
+@query(_pagerank_sql(10, "SELECT * FROM (VALUES ('customer/C7.csv', 2.0), ('part/P5.py', 1.0)) t(id, w)") + "SELECT id, round(score * (SELECT count(*) FROM nodes), 6) AS score FROM r10")
 def personalised_10(spark, sf_dir):
-    return rank.personalised(catalog_graph(spark, sf_dir), _SEEDS, max_iter=10, tol=0.0).withColumn("score", F.round("score", 6))
+    g = catalog_graph(spark, sf_dir)
+    return rank.personalised(g, _SEEDS, max_iter=10, tol=0.0).withColumn("score", F.round(F.col("score") * g.nodes.count(), 6))
 
 
 @query(_pagerank_sql(10, None) + "SELECT id, type, round(score, 6) AS score FROM r10 JOIN nodes USING (id) WHERE path IS NOT NULL AND type NOT IN ('area', 'session', 'decision') ORDER BY r10.score DESC, id LIMIT 10")
@@ -437,7 +443,7 @@ held AS (SELECT label, count(*) FILTER (WHERE inside) AS internal_edges, count(*
 tops AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY coalesce(degree, 0) DESC, id) AS p FROM comm LEFT JOIN kdeg USING (id)),
 types AS (SELECT comm.label, type, row_number() OVER (PARTITION BY comm.label ORDER BY count(*) DESC, type) AS p FROM comm JOIN nodes USING (id) GROUP BY comm.label, type)
 SELECT name, label, size, (SELECT list(id ORDER BY p) FROM tops WHERE tops.label = nm.label AND p <= 5) AS key_files, (SELECT list(type ORDER BY p) FROM types WHERE types.label = nm.label AND p <= 3) AS dominant_types,
- internal_edges, boundary_edges, round(internal_edges / (internal_edges + boundary_edges), 6) AS cohesion FROM nm JOIN held USING (label)"""
+ internal_edges, boundary_edges, round_even(internal_edges / (internal_edges + boundary_edges), 2) AS cohesion FROM nm JOIN held USING (label)"""
 )
 def community_summary(spark, sf_dir):
     g = catalog_graph(spark, sf_dir)
@@ -475,9 +481,9 @@ def focus_recency(spark, sf_dir):
 # -- extraction and resolution -------------------------------------------------------------
 
 
-@query("SELECT page_id, len(h) AS links, array_to_string(h, ' ') AS targets FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"([^\"]{1,1000})\"', 1), lambda x: x <> '') AS h FROM pages)", catalog=False)
+@query("SELECT page_id, len(h) AS links, array_to_string(h, ' ') AS targets FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), lambda x: x <> '') AS h FROM pages)", catalog=False)
 def html_links(spark, sf_dir):
-    h = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]{1,1000})"'), 1), lambda x: x != "")
+    h = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1), lambda x: x != "")
     return table(spark, sf_dir, "pages").select("page_id", F.size(h).cast("bigint").alias("links"), F.array_join(h, " ").alias("targets"))
 
 

@@ -10,14 +10,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import REFERENCE_DOC, ext
+from graphloom.operators.iterate import cut
+from graphloom.sources.config import CONFIG_NAME, IGNORE_NAME
 
-IGNORED_DIRS = frozenset(".git .hg .svn .idea .vscode node_modules __pycache__ .venv venv env .mypy_cache .pytest_cache .ruff_cache .tox dist build target .next .cache .second_brain coverage".split())
-IGNORED_FILES = frozenset((".ds_store", "thumbs.db", "desktop.ini", "package-lock.json", "yarn.lock", "poetry.lock", "uv.lock"))
-IGNORED_EXTENSIONS = frozenset("pyc pyo so dll dylib exe bin o a class jar png jpg jpeg gif bmp ico svg webp mp3 mp4 zip gz tar 7z woff woff2 ttf lock".split())
+IGNORED_DIRS = frozenset(".git .hg .svn .graphloom .idea .vscode .venv venv env node_modules site-packages dist build .eggs .tox .cache __pycache__ .mypy_cache .pytest_cache .ruff_cache".split())
+IGNORED_FILES = frozenset((IGNORE_NAME, CONFIG_NAME, ".DS_Store", "Thumbs.db", "poetry.lock", "package-lock.json", "yarn.lock"))
+IGNORED_EXTENSIONS = frozenset("pyc pyd pyo so dll dylib exe bin o a bmp gif ico jpeg jpg png svg webp woff woff2 ttf eot zip tar gz 7z rar lock".split())
 JS = ("js", "ts", "tsx", "jsx", "mjs", "cjs")
 CAP = 5_000_000
 LISTING = "path string, size bigint, mtime_ns bigint"
@@ -44,12 +46,13 @@ class GitRule:
             else:
                 out.append({"*": "[^/]*", "?": "[^/]"}.get(body[i], re.escape(body[i])))
                 i += 1
-        self.pattern = re.compile(("" if anchored else "(?:.*/)?") + "".join(out) + r"\Z")
+        # what lies below a folder that matches is meant too
+        self.pattern = re.compile(("" if anchored else "(?:.*/)?") + "".join(out) + r"(?:/.*)?\Z")
 
     @classmethod
     def parse(cls, text: str) -> list[GitRule]:
         lines = (x.rstrip() for x in text.lstrip("\ufeff").splitlines())
-        return [cls(x) for x in lines if x and not x.startswith("#")]
+        return [cls(x) for x in lines if x.strip("!/") and not x.startswith("#")]
 
 
 def gitignored(path: str, is_dir: bool, rules: list[GitRule]) -> bool:
@@ -63,45 +66,99 @@ def gitignored(path: str, is_dir: bool, rules: list[GitRule]) -> bool:
 def ignored_file(path: str, globs: list[str]) -> bool:
     name = path.rsplit("/", 1)[-1]
     e = os.path.splitext(name)[1][1:].lower()
-    return name.lower() in IGNORED_FILES or e in IGNORED_EXTENSIONS or any(fnmatch.fnmatchcase(path, g) or fnmatch.fnmatchcase(name, g) for g in globs)
+    return name in IGNORED_FILES or e in IGNORED_EXTENSIONS or any(fnmatch.fnmatchcase(path, g) or fnmatch.fnmatchcase(name, g) for g in globs)
 
 
-def walk(root: str, globs: list[str] = (), rules: list[GitRule] = (), pruned: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int]]:
-    """(path, size, mtime_ns); ignored, linked and unreadable folders aren't entered."""
-    todo = [""]
-    while todo:
-        folder = todo.pop()
+def visible(path: Column) -> Column:
+    """As the walk decides by the default lists, for paths that come from elsewhere: no ignored folder, name or extension."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    hidden = F.exists(folders, lambda d: d.isin(*sorted(IGNORED_DIRS)) | d.endswith(".egg-info"))
+    return ~(hidden | name.isin(*sorted(IGNORED_FILES)) | F.ltrim(ext(path), F.lit(".")).isin(*sorted(IGNORED_EXTENSIONS)))
+
+
+def scan(root: str, folder: str, globs: list[str], rules: list[GitRule], pruned: frozenset[str]) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """(folders to enter, files as (path, size, mtime_ns)) of one folder; ignored, linked and unreadable folders are left out.
+
+    A link to a folder, or a reparse point that stands for one, is never
+    entered.  An entry that exists but can't be followed stays, with size and
+    time of zero.
+    """
+    folders, files = [], []
+    try:
+        entries = list(os.scandir(os.path.join(root, folder)))
+    except OSError:
+        return [], []
+    for e in entries:
+        path = f"{folder}/{e.name}" if folder else e.name
         try:
-            entries = list(os.scandir(os.path.join(root, folder)))
+            if (e.is_symlink() or e.is_junction()) and e.is_dir():
+                continue
+            if e.is_dir(follow_symlinks=False):
+                if e.name not in IGNORED_DIRS and not e.name.endswith(".egg-info") and path not in pruned and not gitignored(path, True, rules):
+                    folders.append(path)
+                continue
         except OSError:
             continue
-        for e in entries:
-            path = f"{folder}/{e.name}" if folder else e.name
-            try:
-                if e.is_symlink() and e.is_dir():
-                    continue
-                if e.is_dir(follow_symlinks=False):
-                    if e.name not in IGNORED_DIRS and not e.name.endswith(".egg-info") and path not in pruned and not gitignored(path, True, rules):
-                        todo.append(path)
-                elif not ignored_file(path, globs) and not gitignored(path, False, rules):
-                    s = e.stat()
-                    yield path, s.st_size, s.st_mtime_ns
-            except OSError:
-                continue
+        if ignored_file(path, globs) or gitignored(path, False, rules):
+            continue
+        try:
+            s = e.stat()
+            files.append((path, s.st_size, s.st_mtime_ns))
+        except OSError:
+            if os.path.lexists(os.path.join(root, path)):
+                files.append((path, 0, 0))
+    return folders, files
+
+
+def walk(root: str, globs: list[str] = (), rules: list[GitRule] = (), pruned: frozenset[str] = frozenset(), start: str = "") -> Iterator[tuple[str, int, int]]:
+    """(path, size, mtime_ns) of all files below a folder."""
+    todo = [start]
+    while todo:
+        folders, files = scan(root, todo.pop(), globs, rules, pruned)
+        todo.extend(folders)
+        yield from files
+
 
+def list_files(spark: SparkSession, root: str, respect_gitignore: bool = False, pruned: frozenset[str] = frozenset(), apart: int = 256) -> DataFrame:
+    """The listing as rows.  Only metadata: contents are read by the tasks that need them.
 
-def list_files(spark: SparkSession, root: str, respect_gitignore: bool = False, pruned: frozenset[str] = frozenset()) -> DataFrame:
-    """The listing as rows.  Only metadata: contents are read by the tasks that need them."""
+    The driver opens folders from the top until at least ``apart`` are left to
+    walk, or none; these are walked by tasks, so that the driver never holds
+    the listing of a large tree.
+    """
 
     def lines(name: str) -> str:
         try:
-            return open(os.path.join(root, name), encoding="utf-8-sig").read()
+            with open(os.path.join(root, name), encoding="utf-8-sig", errors="ignore") as f:
+                return f.read()
         except OSError:
             return ""
 
-    globs = [x.strip() for x in lines(".secondbrainignore").splitlines() if x.strip() and not x.startswith("#")]
+    globs = [x.strip() for x in lines(IGNORE_NAME).splitlines() if x.strip() and not x.strip().startswith("#")]
     rules = GitRule.parse(lines(".gitignore")) if respect_gitignore else []
-    return spark.createDataFrame(sorted(walk(root, globs, rules, pruned)), LISTING)
+    todo, top = [""], []
+    while todo and len(todo) < apart:
+        below = []
+        for folder in todo:
+            folders, files = scan(root, folder, globs, rules, pruned)
+            below += folders
+            top += files
+        todo = below
+    listed = spark.createDataFrame(sorted(top), LISTING)
+    if not todo:
+        return listed
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for folder in f["folder"]:
+                rows = list(walk(root, globs, rules, pruned, folder))
+                for i in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[i : i + 10_000], columns=["path", "size", "mtime_ns"])
+
+    deep = spark.createDataFrame([(d,) for d in sorted(todo)], "folder string").repartition(min(len(todo), 4 * spark.sparkContext.defaultParallelism))
+    return listed.union(deep.mapInPandas(run, LISTING))
 
 
 # -- per file -------------------------------------------------------------------
@@ -199,26 +256,74 @@ def content_hash(data: bytes) -> str:
 
 
 EXTRACT = "path string, hash string, text string, imports array<struct<level:int,module:string,names:array<string>>>, defs array<struct<qualname:string,kind:string,line:int>>, calls array<struct<caller:string,callee:string>>"
+#: Part of the name under which findings are stored: another version of this code never reads them.
+EXTRACT_VERSION = "2"
 
 
-def extract(files: DataFrame, root: str, symbols: bool = True) -> DataFrame:
-    """One read per file: hash, text (of scripts and documents) and Python findings."""
+def _read(files: DataFrame, root: str, symbols: bool, cached: DataFrame | None) -> DataFrame:
+    """EXTRACT and ``fresh``: one read per file; where its bytes have the hash they had, nothing is parsed."""
     kind = F.ltrim(ext(F.col("path")), F.lit("."))
     wanted = files.where(kind.isin("py", *JS, *REFERENCE_DOC) & (F.col("size") <= CAP)).select("path")
+    was = F.lit(None).cast("string")
+    if cached is not None:
+        wanted, was = wanted.join(cached.select("path", F.col("hash").alias("was")), "path", "left"), F.col("was")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for path in f["path"]:
+            for path, before in zip(f["path"], f["was"]):
                 try:
-                    data = open(os.path.join(root, path), "rb").read(CAP + 1)
+                    with open(os.path.join(root, path), "rb") as held:
+                        data = held.read(CAP + 1)
                 except OSError:
                     continue
                 if len(data) > CAP:
                     continue
+                now = content_hash(data)
+                if now == before:
+                    rows.append((path, now, None, None, None, None, False))
+                    continue
                 text, py = data.decode("utf-8", "ignore"), path.lower().endswith(".py")
                 defs, calls = python_symbols(text) if py and symbols else ([], [])
-                rows.append((path, content_hash(data), None if py else text, python_imports(text) if py else [], defs, calls))
-            yield pd.DataFrame(rows, columns=["path", "hash", "text", "imports", "defs", "calls"])
+                rows.append((path, now, None if py else text, python_imports(text) if py else [], defs, calls, True))
+            yield pd.DataFrame(rows, columns=["path", "hash", "text", "imports", "defs", "calls", "fresh"])
+
+    return wanted.select("path", was.alias("was")).mapInPandas(run, EXTRACT + ", fresh boolean")
+
+
+def extract(files: DataFrame, root: str, symbols: bool = True) -> DataFrame:
+    """One read per file: hash, text (of scripts and documents) and Python findings."""
+    return _read(files, root, symbols, None).drop("fresh")
+
+
+def extract_again(files: DataFrame, root: str, cached: DataFrame, symbols: bool = True) -> DataFrame:
+    """As ``extract``, with the findings of ``cached`` (those of an earlier build) for files whose bytes are the same.
+
+    Every file is read, and what it was found to hold then is only taken over on
+    the evidence of its hash now; so the result is that of extracting anew.
+    """
+    read = cut(_read(files, root, symbols, cached))
+    same = cached.join(read.where("not fresh").select("path"), "path", "left_semi")
+    return read.where("fresh").drop("fresh").unionByName(same)
+
+
+def heads_and_tails(files: DataFrame, root: str, most: int = 2_000_000, tail: int = 65_536) -> DataFrame:
+    """(path, size, problem) of files (path, size) that are torn: 16 zero bytes in a row near either end.  Empty ones aren't opened."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            torn = []
+            for path, size in zip(f["path"], f["size"]):
+                try:
+                    with open(os.path.join(root, path), "rb") as held:
+                        found = b"\0" * 16 in held.read(most)
+                        if not found and size > most:
+                            held.seek(-min(tail, size), os.SEEK_END)
+                            found = b"\0" * 16 in held.read()
+                except OSError:
+                    continue
+                if found:
+                    torn.append((path, size))
+            yield pd.DataFrame(torn, columns=["path", "size"])
 
-    return wanted.mapInPandas(run, EXTRACT)
+    return files.where("size > 0").select("path", "size").mapInPandas(run, "path string, size bigint").withColumn("problem", F.lit("truncated"))
