@@ -13,7 +13,7 @@ from graphloom.graph import PropertyGraph
 from graphloom.operators.bm25 import focus_seeds
 from graphloom.operators.budget import fit
 from graphloom.operators.iterate import cut
-from graphloom.operators.rank import pagerank
+from graphloom.operators.rank import by_rank, pagerank
 from graphloom.operators.recency import blend, recency_scores
 from graphloom.sources.tree import signatures
 
@@ -35,7 +35,7 @@ def ranked(graph: PropertyGraph, task: str, damping: float = 0.85, recency: floa
 
 def fitting(rows: DataFrame, budget_tokens: int) -> DataFrame:
     """Of ranked rows those that fit: seeds first, then by rank, backups and logs last."""
-    order = [F.col("noise"), F.when(F.col("noise"), F.lit(False)).otherwise(~F.col("seed")), F.desc("score"), F.col("id")]
+    order = [F.col("noise"), F.when(F.col("noise"), F.lit(False)).otherwise(~F.col("seed")), by_rank(), F.col("id")]
     kept = fit(rows, node_cost(F.col("id"), F.col("type"), F.col("path")), budget_tokens, order, unlimited_below_one=False)
     return kept.drop("noise").withColumn("score", F.round("score", 6))
 
@@ -52,7 +52,7 @@ def focus(graph: PropertyGraph, task: str, budget_tokens: int = 2000, recency: f
     nodes = cut(fitting(rows, budget_tokens))
     edges = PropertyGraph(graph.nodes, graph.knowledge).induced(nodes).select("source", "target", "type").orderBy("source", "target", "type")
     kept = [r.asDict() for r in nodes.orderBy("spent").collect()]
-    best = [r["id"] for r in seeds.orderBy("noise", F.desc("score"), "id").limit(SEEDS_SHOWN).collect()]
+    best = [r["id"] for r in seeds.orderBy("noise", by_rank(), "id").limit(SEEDS_SHOWN).collect()]
     total = seeds.count()
     result = {
         "task": task, "seeds": best, "seeds_total": total, "fallback": not total, "recency": max(0.0, recency), "budget_tokens": budget_tokens, "token_estimate": kept[-1]["spent"] if kept else 0,

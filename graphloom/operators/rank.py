@@ -79,11 +79,16 @@ def personalised(graph: PropertyGraph, seeds: Mapping[str, float] | Iterable[str
     return pagerank(graph, personalization=seeds, **options)
 
 
+def by_rank(score: str = "score") -> Column:
+    """Best first.  Scores that differ by less than about 1e-9 of their size tie: the order of summing leaves no more."""
+    return F.round(F.log(score), 9).desc_nulls_last()
+
+
 def top(graph: PropertyGraph, scores: DataFrame, k: int, predicate: Column | None = None) -> DataFrame:
     """The k best present nodes for which the predicate holds; ties by id."""
     rows = scores.join(graph.nodes, "id")
     rows = rows if predicate is None else rows.where(predicate)
-    return rows.orderBy(F.desc("score"), "id").limit(k)
+    return rows.orderBy(by_rank(), "id").limit(k)
 
 
 def god_nodes(graph: PropertyGraph, scores: DataFrame, k: int = 10) -> DataFrame:

@@ -94,6 +94,36 @@ def node_descriptions(spark, sf_dir):
     return rows.select("id", paths.describe(F.col("type"), F.col("path"), F.coalesce("inbound", F.lit(0))).alias("description"))
 
 
+def _with_odd_edges(g: PropertyGraph) -> PropertyGraph:
+    """The graph with a loop on every design node and edges of suppliers to ids that aren't nodes."""
+    loops = g.nodes.where("type = 'design'").select("id", F.col("id").alias("target"), F.lit("references").alias("type"), F.lit(None).cast("bigint").alias("ord"))
+    lost = g.nodes.where("type = 'config'").select("id", F.concat(F.lit("gone/"), "label").alias("target"), F.lit("imports").alias("type"), F.lit(None).cast("bigint").alias("ord"))
+    return PropertyGraph(g.nodes, g.edges.select("source", "target", "type", "ord").union(loops).union(lost), g.project)
+
+
+_ODD = """, odd AS (SELECT source, target, type FROM edges UNION ALL SELECT id, id, 'references' FROM nodes WHERE type = 'design' UNION ALL SELECT id, 'gone/' || label, 'imports' FROM nodes WHERE type = 'config'),
+ends AS (SELECT source AS id, source = target AS loop, type FROM odd UNION ALL SELECT target, source = target, type FROM odd),
+shown AS (SELECT id FROM nodes WHERE type <> 'area'),
+five AS (SELECT id, 'all' AS kind, count(*) - count(*) FILTER (WHERE loop) // 2 AS degree FROM ends GROUP BY id
+ UNION ALL SELECT id, 'knowledge', count(*) FROM ends WHERE type IN ('imports', 'references') GROUP BY id
+ UNION ALL SELECT id, 'community', count(*) FROM ends WHERE type IN ('imports', 'references') AND NOT loop AND id IN (SELECT id FROM nodes) GROUP BY id
+ UNION ALL SELECT id, 'store', count(*) FROM ends GROUP BY id
+ UNION ALL SELECT id, 'viewer', count(*) FROM (SELECT source AS id FROM odd WHERE type <> 'belongs_to' AND source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown) UNION ALL SELECT target FROM odd WHERE type <> 'belongs_to' AND source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)) GROUP BY id)
+"""
+
+
+@query(_ODD + "SELECT id, kind, degree FROM five")
+def degrees_apart(spark, sf_dir):
+    """The five degrees on a graph with self-loops and dangling edges, where no two of them agree."""
+    g = _with_odd_edges(catalog_graph(spark, sf_dir))
+    kinds = {"all": g.degree(), "knowledge": g.knowledge_degree(), "community": g.community_degree(), "store": g.store_degree(), "viewer": g.viewer_degree()}
+    out = None
+    for kind, rows in kinds.items():
+        rows = rows.select("id", F.lit(kind).alias("kind"), "degree")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 # -- search, neighbourhood, digest ----------------------------------------------
 
 
@@ -361,6 +391,9 @@ def churn(spark, sf_dir):
 # -- ranks -----------------------------------------------------------------------------
 
 
+_BY_RANK = "CASE WHEN {0} > 0 THEN round(ln({0}), 9) END DESC NULLS LAST"
+
+
 def _pagerank_sql(rounds: int, seeds: str | None) -> str:
     p = "1.0 / (SELECT count(*) FROM nodes)" if seeds is None else "coalesce(w / (SELECT sum(w) FROM seed), 0)"
     out = f""", seed AS ({seeds or "SELECT NULL AS id, 0.0 AS w"}), od AS (SELECT source, count(*) AS d FROM k GROUP BY source),
@@ -389,13 +422,24 @@ def personalised_10(spark, sf_dir):
     return rank.personalised(g, _SEEDS, max_iter=10, tol=0.0).withColumn("score", F.round(F.col("score") * g.nodes.count(), 6))
 
 
-@query(_pagerank_sql(10, None) + "SELECT id, type, round(score, 6) AS score FROM r10 JOIN nodes USING (id) WHERE path IS NOT NULL AND type NOT IN ('area', 'session', 'decision') ORDER BY r10.score DESC, id LIMIT 10")
+@query(_pagerank_sql(10, None) + f"SELECT id, type, round(score, 6) AS score FROM r10 JOIN nodes USING (id) WHERE path IS NOT NULL AND type NOT IN ('area', 'session', 'decision') ORDER BY {_BY_RANK.format('r10.score')}, id LIMIT 10")
 def god_nodes(spark, sf_dir):
     g = catalog_graph(spark, sf_dir)
     return rank.god_nodes(g, rank.pagerank(g, max_iter=10, tol=0.0)).withColumn("score", F.round("score", 6))
 
 
-@query()
+#: Rounds after which the catalog graph's ranks change by less than 1e-9 in all; a few more or less don't show.
+CONVERGED = 78
+
+
+@query(_pagerank_sql(CONVERGED, None) + f"SELECT id, round(score * (SELECT count(*) FROM nodes), 4) AS score FROM r{CONVERGED}")
+def pagerank(spark, sf_dir):
+    """Ranks to convergence, times the number of nodes."""
+    g = catalog_graph(spark, sf_dir)
+    return rank.pagerank(g).withColumn("score", F.round(F.col("score") * g.nodes.count(), 4))
+
+
+@query(_pagerank_sql(CONVERGED, None) + f"SELECT id, type, round(score, 6) AS score FROM r{CONVERGED} r JOIN nodes USING (id) WHERE path IS NOT NULL AND type NOT IN ('area', 'session', 'decision') ORDER BY {_BY_RANK.format('r.score')}, id LIMIT 10")
 def god_nodes_converged(spark, sf_dir):
     """As god_nodes, whose SQL has ten rounds unrolled, with ranks that have converged."""
     g = catalog_graph(spark, sf_dir)
@@ -463,17 +507,31 @@ def surprising_edges(spark, sf_dir):
 # -- focus ------------------------------------------------------------------------------
 
 
-@query()
+def _focus_sql(terms: list[str], budget: int, recency: float = 0.0) -> str:
+    texts = "id || ' ' || label || ' ' || type || coalesce(' ' || path, '') || ' ' || type || ' ' || label"
+    out = f", nt AS (SELECT id, {texts} AS text FROM nodes WHERE type <> 'area'), " + _bm25_sql("nt", "id", terms) + ", hits AS MATERIALIZED (SELECT id, score AS w FROM sc WHERE score > 0)"
+    out += _pagerank_sql(CONVERGED, "SELECT id, w FROM hits" if terms[0] != "zzz" else None)
+    score, more = "score", ""
+    if recency:
+        score, more = f"{1 - recency} * (score - lo) / (hi - lo) + {recency} * coalesce(recency, 0)", f", (SELECT min(score) AS lo, max(score) AS hi FROM r{CONVERGED})"
+        out += _REC
+    out += f""", c AS (SELECT id, type, path, {score} AS score, hits.id IS NOT NULL AS seed, {_COST} AS cost FROM r{CONVERGED} JOIN nodes USING (id) LEFT JOIN hits USING (id) {"LEFT JOIN rec USING (id)" if recency else ""}{more} WHERE type <> 'area'),
+fitted AS (SELECT *, (sum(cost) OVER w)::BIGINT AS spent, row_number() OVER w AS place FROM c WINDOW w AS (ORDER BY seed DESC, {_BY_RANK.format('score')}, id ROWS UNBOUNDED PRECEDING))
+SELECT id, type, path, round(score, 6) AS score, seed, cost, spent FROM fitted WHERE spent <= {budget} OR place = 1"""
+    return out
+
+
+@query(_focus_sql(["zzz", "no", "such", "term"], 2000))
 def focus_global(spark, sf_dir):
     return focus.focus_nodes(catalog_graph(spark, sf_dir), "zzz no such term", 2000)
 
 
-@query()
+@query(_focus_sql(["supplier", "design", "n3"], 1500))
 def focus_personalised(spark, sf_dir):
     return focus.focus_nodes(catalog_graph(spark, sf_dir), "supplier design N3", 1500)
 
 
-@query()
+@query(_focus_sql(["customer", "c7"], 1000, 0.5))
 def focus_recency(spark, sf_dir):
     return focus.focus_nodes(catalog_graph(spark, sf_dir), "customer C7", 1000, recency=0.5)
 
@@ -516,6 +574,25 @@ def path_functions(spark, sf_dir):
     return _shaped(spark, sf_dir).select("c_custkey", paths.ext(p).alias("ext"), paths.top_area(p).alias("area"), paths.basename(p).alias("base"), paths.is_copy_or_log(p).alias("noise"), paths.slug(p).alias("slug"), paths.agent_key(p).alias("agent_key"), paths.text_cost(p).alias("text_cost"))
 
 
+_PLACES = ("src/a{0}.py", "dist/a{0}.py", "lib/site-packages/m{0}.py", "a{0}.egg-info/x.txt", "img/p{0}.PNG", "target/t{0}.md", "x{0}/poetry.lock", "x{0}/Thumbs.db", "dist{0}.md", "lib/x{0}.jar", ".graphloom/n{0}.md", "m{0}.pyd")
+
+
+@query(
+    "SELECT p_partkey, path FROM (SELECT p_partkey, p_partkey % 12 AS k, CASE p_partkey % 12 " + " ".join("WHEN {} THEN '{}'".format(i, p.replace("{0}", "' || p_partkey || '")) for i, p in enumerate(_PLACES)) + " END AS path FROM part) WHERE k IN (0, 5, 8, 9)",
+    catalog=False,
+)
+def visible_paths(spark, sf_dir):
+    """Paths that the default lists of folders, names and extensions leave in the graph."""
+    from graphloom.sources.tree import visible
+
+    path = F.lit(None).cast("string")
+    for i, p in enumerate(_PLACES):
+        before, _, after = p.partition("{0}")
+        path = F.when(F.col("p_partkey") % len(_PLACES) == i, F.concat(F.lit(before), F.col("p_partkey").cast("string"), F.lit(after))).otherwise(path)
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return rows.where(visible(F.col("path")))
+
+
 @query("SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0) ELSE format('{:.1f} GB', b / 1073741824.0) END AS size FROM (SELECT o_orderkey, (floor(o_totalprice) * (o_orderkey % 100) * (o_orderkey % 7))::BIGINT AS b FROM orders)", catalog=False)
 def human_sizes(spark, sf_dir):
     b = (F.floor("o_totalprice") * (F.col("o_orderkey") % 100) * (F.col("o_orderkey") % 7)).cast("bigint")
@@ -628,6 +705,22 @@ def gate_summary(spark, sf_dir):
     return digest.gate(PropertyGraph(nodes, g.edges), none)
 
 
+@query(
+    _LESS
+    + """SELECT 'broken' AS kind, id AS path, 'gone.md' AS target FROM files WHERE size % 50 = 0
+UNION ALL SELECT 'orphan', id, NULL FROM files WHERE id NOT IN (SELECT id FROM k2)
+UNION ALL SELECT CASE WHEN size % 3 = 0 THEN 'removed' ELSE 'changed' END, id, NULL FROM files WHERE type = 'program' AND (size % 3 = 0 OR size % 4 = 0)"""
+)
+def gate_details(spark, sf_dir):
+    """What the gate counts, one row each: broken references, what changed, orphans."""
+    g = _without_orders(catalog_graph(spark, sf_dir))
+    nodes = g.nodes.withColumn("broken_refs", F.when((F.col("size") % 50 == 0) & F.col("path").isNotNull(), F.array(F.lit("gone.md"))))
+    programs = g.nodes.where("type = 'program'")
+    old = programs.select("path", F.lit("x").alias("hash"))
+    new = programs.where("size % 3 <> 0").select("path", F.when(F.col("size") % 4 == 0, "y").otherwise("x").alias("hash"))
+    return digest.gate_details(PropertyGraph(nodes, g.edges), digest.manifest_diff(old, new))
+
+
 @query("SELECT 'd' || doc_id || '.md' AS path, CASE WHEN doc_id % 10 = 0 THEN 'empty' ELSE 'truncated' END AS problem FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 3", catalog=False)
 def integrity_scan(spark, sf_dir):
     k = F.col("doc_id")
@@ -693,6 +786,34 @@ def contested_files(spark, sf_dir):
     return contested(_events_as_works(spark, sf_dir), "3 days")
 
 
+_LOG = """WITH e AS (SELECT 'agent' || (user_id % 40) AS agent, 'p' || (user_id % 3) AS project, 'f' || (event_id % 200) AS file, CASE WHEN event_id % 9 = 0 THEN 'close' ELSE 'touch' END AS action, ts FROM events),
+w AS (SELECT agent, project, max(ts) FILTER (WHERE action = 'close') AS closed, max(ts) AS heartbeat FROM e GROUP BY agent, project),
+l AS (SELECT w.* FROM w, (SELECT max(ts) AS now FROM e) WHERE (closed IS NULL OR heartbeat > closed) AND now - heartbeat < INTERVAL 3 DAY),
+r AS (SELECT e.*, heartbeat FROM e JOIN l USING (agent, project) WHERE (closed IS NULL OR e.ts > closed) AND action <> 'close')
+"""
+
+
+def _event_log(spark, sf_dir) -> DataFrame:
+    action = F.when(F.col("event_id") % 9 == 0, "close").otherwise("touch")
+    none = F.lit("").alias("intent"), F.lit("").alias("signature")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("agent"), F.col("user_id") % 40).alias("agent"), F.concat(F.lit("p"), F.col("user_id") % 3).alias("project"), F.concat(F.lit("f"), F.col("event_id") % 200).alias("file"), action.alias("action"), *none, "ts")
+
+
+@query(_LOG + "SELECT agent, project, heartbeat, min(ts) AS since, array_to_string(list_sort(list_distinct(list(file))), ' ') AS files FROM r GROUP BY agent, project, heartbeat", catalog=False)
+def live_works(spark, sf_dir):
+    """Works that are live three days back, by the log: what an agent did on a project since it last closed it."""
+    from graphloom.streaming.works import works
+
+    return works(_event_log(spark, sf_dir), alive="3 days").select("agent", "project", "heartbeat", "since", F.array_join("files", " ").alias("files"))
+
+
+@query(_LOG + "SELECT project, file, array_to_string(list_sort(list_distinct(list(agent))), ' ') AS agents FROM r GROUP BY project, file", catalog=False)
+def file_owners(spark, sf_dir):
+    from graphloom.streaming.works import owners
+
+    return owners(_event_log(spark, sf_dir), alive="3 days").select("project", "file", F.array_join("agents", " ").alias("agents"))
+
+
 @query("SELECT format('<edge source=\"{}\" target=\"{}\"><data key=\"etype\">{}</data></edge>', source, target, type) AS line FROM edges")
 def graphml_lines(spark, sf_dir):
     from graphloom.plans.export import graphml_edges
