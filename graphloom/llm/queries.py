@@ -138,4 +138,18 @@ pattern_best AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN rverdict WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
        CASE WHEN rule IS NULL THEN pattern END AS pattern
 FROM parts LEFT JOIN host_best USING (host, path) LEFT JOIN pattern_best USING (host, path)""",
+    "op9_minhash_near_dedup": r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(g) AS g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+und AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT DISTINCT a AS id, a AS top FROM und UNION SELECT und.b, reach.top FROM reach JOIN und ON und.a = reach.id WHERE reach.top < und.b),
+best AS (SELECT id, min(top) AS top FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(best.top, d.doc_id) AS component_id, coalesce(best.top, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN best ON best.id = d.doc_id""",
 }
