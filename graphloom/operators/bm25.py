@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import is_copy_or_log
 from graphloom.functions.text import node_text, tokenize
 from graphloom.graph import PropertyGraph
+from graphloom.operators.iterate import cut
 
 K1, B = 1.5, 0.75
 NOISE = 0.1
@@ -30,24 +31,29 @@ def idf(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 def scores(docs: DataFrame, query: str, key: str = "id", text: str = "text") -> DataFrame:
     """(key, score) of what the query's terms occur in; a repeated term counts repeatedly.
 
-    The query's terms are filtered out of each text where it is read: only
-    (text, query term) hits are aggregated, and terms' counts meet on the driver.
+    Texts are split once: the pass that writes the hits of the query's terms
+    also counts texts and their lengths.  Only hits are aggregated, and the
+    terms' counts meet on the driver.
     """
-    held, size = index(docs, key, text)
+    held = index(docs, key, text)[0]
     spark = docs.sparkSession
     asked = [r["t"] for r in spark.range(1).select(F.explode(tokenize(F.lit(query))).alias("t")).collect()]
     if not asked:
         return held.select(key, F.lit(0.0).alias("score")).limit(0)
     want = F.array(*[F.lit(t) for t in sorted(set(asked))])
+    seen = Observation()
+    held = held.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
     hits = held.where(F.arrays_overlap("terms", want)).select(key, "length", F.filter("terms", lambda t: F.array_contains(want, t)).alias("hits"))
-    total = size.collect()[0]
+    hits = cut(hits)
+    total = seen.get
+    average = total["length"] / total["n"] if total["length"] else 1.0
     df = {r["t"]: r["df"] for r in hits.select(F.explode(F.array_distinct("hits")).alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()}
     score = F.lit(0.0)
     for t in sorted(set(asked)):
         tf = F.size(F.filter("hits", lambda x: x == F.lit(t)))
         n, d = F.lit(float(total["n"])), F.lit(float(df.get(t, 0)))
         weight = F.log((n - d + 0.5) / (d + 0.5) + 1)
-        part = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(total["avgdl"] or 1.0)))
+        part = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(average)))
         score = score + asked.count(t) * part
     return hits.select(key, score.alias("score")).where("score > 0")
 

@@ -24,13 +24,22 @@ FILES = (
 )
 
 
-_BUILT: dict[tuple[str, str], PropertyGraph] = {}
+_BUILT: dict[tuple[str, str, tuple[int, ...]], PropertyGraph] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When each of the tables was last written."""
+    out = []
+    for name in (*(f[0] for f in FILES), "lineitem", "events"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        out.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(out)
 
 
 def catalog_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The catalog graph, stored once for each application and folder, so that queries scan tables with
-    statistics instead of building it anew within every join."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    """The catalog graph, stored once for each application, folder and state of its tables, so that queries scan
+    tables with statistics instead of building it anew within every join."""
+    at = (spark.sparkContext.applicationId, sf_dir, _written(spark, sf_dir))
     if at not in _BUILT:
         g = build_catalog(spark, sf_dir)
         _BUILT[at] = PropertyGraph(cut(g.nodes), cut(g.edges), g.project)
