@@ -35,7 +35,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,8 +53,8 @@ SEPARATORS = " .-_*~'"
 SWAP, DROP, REPEAT, SPLIT_COST, DECORATION = 0.5, 0.3, 0.05, 1.0, 9.0
 SIGN = re.compile(r"[0-9@$!|+€¡£*]")
 THRICE = re.compile(r"([^\W\d_])\1(?:\1|([^\W\d_])\2([^\W\d_])\3)")
-#: A single character between separators, or one and an end of its token, as a spelled-out word has within a token.
-INNER = re.compile(r"(?:^|[.\-_*~])[^\W_](?:[.\-_*~]|$)")
+#: Two characters parted by a sign, at least one of them by itself, as spelled-out words have within a token.
+INNER = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])[.\-_*~](?:[^\W_]|[@$!|+])|(?:[^\W_]|[@$!|+])[.\-_*~](?:[^\W_]|[@$!|+])(?![^\W_])")
 SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_@$!|+]){3,}(?![^\W_])|(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]|[ .\-_*~][@$!|+]){3,}(?![^\W_])")
 GAP = re.compile(r"\s")
 EDGE = ".,;:?\"'()[]{}<>#%&*=~`^/\\"
@@ -78,6 +78,11 @@ class Model:
     odd: set[str] = field(default_factory=set, compare=False)
     telling: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False)
 
+    @cached_property
+    def starts(self) -> frozenset[str]:
+        """What entries begin with: most words don't."""
+        return frozenset(n.removesuffix("-")[:3] for n in self.names)
+
     def restore(self, stretch: str) -> str:
         """The likeliest reading of one suspicious stretch (lower case), words parted by blanks."""
         if (read := self.known.get(stretch)) is None:
@@ -167,9 +172,9 @@ class Model:
         for t in new:
             if len(t) <= SHORT:
                 self.seen.add(t)
-            if INNER.search(t) and len(t) > 1 or _core(t):
+            if THRICE.search(t) and _core(t) if t.isalpha() else INNER.search(t) or _core(t):
                 self.odd.add(t)
-            if found := tuple(f for w in WORD.findall(t) for f in _forms(w) if f in self.names):
+            if found := tuple(f for w in WORD.findall(t) if w[:3] in self.starts for f in _forms(w) if f in self.names):
                 self.telling[t] = found
 
     def hits(self, tokens: list[str], distinct: set[str]) -> list[str]:
