@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from graphloom.schema import KNOWLEDGE
 
 #: Bytes of ranks (two numbers a node) up to which each round sends them to all tasks instead of shuffling.
 BROADCAST_BYTES = 32 << 20
+#: Steps of the series after which the rounds go on one by one: links that run in circles never use them up.
+STEPS = 12
 
 
 def pagerank(graph: PropertyGraph, relations: tuple[str, ...] = KNOWLEDGE, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-9, personalization: DataFrame | None = None) -> DataFrame:
@@ -23,34 +26,123 @@ def pagerank(graph: PropertyGraph, relations: tuple[str, ...] = KNOWLEDGE, dampi
     ids are ignored, negative ones count as none, and without any it is uniform.
     Edges need both ends; parallel edges of different types weigh twice.
 
-    Nodes are numbered once, so that rounds join and sum numbers.  While all
-    ranks take at most ``BROADCAST_BYTES`` they are sent to the links, which lie
-    partitioned by target, and a round shuffles nothing; beyond that the links
-    lie partitioned by source and a round shuffles ranks and partial sums.  A
-    round is one job: its ranks are written, and the dangling mass and change
-    observed meanwhile.
+    A round is r' = c p + M r: M moves ranks along the links, p is the restart
+    and c one number, which depends on the rank that ends nowhere.  So the k-th
+    ranks are the sum of c[k-j] M^j p for j < k, and M^k of the first ranks.
+    The vectors M^j p are made one by one, each from the links that leave what
+    the one before reached.  Where links form no circle they soon are empty, and
+    then all further rounds, with their change, are arithmetic on those there
+    are.  Where links form circles, rounds go on as such after ``STEPS``.
     """
     numbered = cut(graph.nodes.select("id").withColumn("n", F.monotonically_increasing_id()))
     n = numbered.count()
-    if not n:
-        return numbered.select("id", F.lit(0.0).alias("score"))
-    number = lambda c: numbered.select(F.col("id").alias(c), F.col("n").alias(c[0]))
-    edges = cut(graph.of_types(relations).select("source", "target").join(number("source"), "source").join(number("target"), "target").select("s", "t"))
-    out = edges.groupBy("s").agg(F.count("*").alias("d"))
+    if not n or max_iter < 1:
+        return numbered.select("id", F.lit(1.0 / max(n, 1)).alias("score"))
+    number = lambda c: numbered.select(F.col("id").alias(c), F.col("n").alias(c[0])).hint("shuffle_hash")
+    edges = cut(graph.of_types(relations).select("source", "target").join(number("target"), "target").select("source", "t").join(number("source"), "source").select("s", "t"))
+    own, shares = None, []
+    if personalization is not None:
+        w = personalization.groupBy("id").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w")).where("w > 0")
+        w = cut(w.join(numbered, "id").select("n", "w"))
+        total = w.agg(F.sum("w")).collect()[0][0] or 0.0
+        own = w.select("n", (F.col("w") / total).alias("v")) if total > 0 else None
+        shares = [w]
+    out = cut(edges.groupBy(F.col("s").alias("n")).agg(F.count("*").alias("d")))
+    # v: M^j p; w: M^j of the first ranks, which are uniform; without weights they are the same
+    names = ("v",) if own is None else ("v", "w")
+    sums = [(1.0, 1.0)]
+    reached: list[DataFrame] = []
+    live, held, closed = edges, [edges, numbered, out, *shares], False
+    now = numbered.select("n", F.lit(1.0 / n).alias("v")) if own is None else numbered.join(own, "n", "left").select("n", F.coalesce("v", F.lit(0.0)).alias("v"), F.lit(1.0 / n).alias("w"))
+    for j in range(1, min(max_iter, STEPS) + 1):
+        given = now.join(out, "n").select(F.col("n").alias("s"), *[(F.col(x) * damping / F.col("d")).alias(x) for x in names])
+        moved = live.join(given.hint("shuffle_hash"), "s")
+        if j > 1:
+            live = cut(moved)
+            held.append(live)
+            moved = live
+        step = moved.groupBy(F.col("t").alias("n")).agg(*[F.sum(x).alias(x) for x in names])
+        seen = Observation()
+        now = cut(step.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in names]))
+        held.append(now)
+        told = seen.get
+        sums.append((told["v"], told[names[-1]]))
+        live = live.select("s", "t")
+        if not told["rows"]:
+            closed = True
+            break
+        reached.append(now)
+    last = len(sums) - 1  # M^last is none if closed
+
+    # the numbers c[1], c[2] and so on, as far as the vectors tell
+    kept = lambda j, x: sums[j][x] - (sums[j + 1][x] if j < last else 0.0) / damping if damping else sums[j][x]
+    c = [0.0]
+    rounds = max_iter if closed else last
+    for k in range(1, rounds + 1):
+        lost = sum(c[k - 1 - j] * kept(j, 0) for j in range(min(k - 1, last))) + (kept(k - 1, 1) if k - 1 < last else 0.0)
+        c.append(1 - damping + damping * lost)
+
+    def factors(k: int) -> tuple[list[float], list[float]]:
+        """Of M^j p and of M^j of the first ranks in the k-th ranks."""
+        return [c[k - j] if j < k else 0.0 for j in range(last + 1)], [float(j == k) for j in range(last + 1)]
+
+    def combined(v: list[float], w: list[float]) -> Column:
+        zero, first = F.col("v0") * v[0] + F.lit(w[0] / n), F.lit(0.0)
+        terms = [F.col(f"v{j}") * v[j] + (F.col(f"w{j}") * w[j]) for j in range(1, len(reached) + 1)]
+        return reduce(lambda a, b: a + b, terms, first) + zero
+
+    parts = [now.select("n", F.lit(j).alias("j"), *names) for j, now in enumerate(reached, 1)]
+    if own is not None:
+        parts.append(own.select("n", F.lit(0).alias("j"), "v", F.lit(0.0).alias("w")))
+    rest = F.lit(1.0 / n if own is None else 0.0)
+    if parts:
+        cell = lambda x, j: F.coalesce(F.sum(F.when(F.col("j") == j, F.col(x))), F.lit(0.0))
+        cells = [cell(x if x in names else "v", j).alias(f"{x}{j}") for j in range(1, len(reached) + 1) for x in ("v", "w")]
+        table = cut(reduce(DataFrame.union, parts).groupBy("n").agg((rest if own is None else cell("v", 0)).alias("v0"), *cells))
+        size = table.count()
+    else:
+        table, size = numbered.select("n", rest.alias("v0")).limit(0), 0
+
+    def change(k: int) -> float:
+        (v, w), (v1, w1) = factors(k), factors(k - 1)
+        v, w = [a - b for a, b in zip(v, v1)], [a - b for a, b in zip(w, w1)]
+        moved = table.agg(F.sum(F.abs(combined(v, w)))).collect()[0][0] or 0.0
+        return moved + (n - size) * abs(v[0] * (1.0 / n if own is None else 0.0) + w[0] / n)
+
+    # a round's change is at most damping times the one before: the first below tol is found by halving
+    low, high, settled = 1, rounds, tol > 0 and change(rounds) < tol
+    while settled and low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if change(middle) < tol else (middle + 1, high)
+    v, w = factors(high)
+    filled = numbered.join(table, "n", "left")
+    filled = filled.fillna(0.0, [x for x in table.columns if x not in ("n", "v0")]).withColumn("v0", F.coalesce("v0", rest))
+    score = combined(v, w).alias("score")
+    if closed or settled or max_iter <= rounds:
+        result = cut(filled.select("id", score))
+    else:
+        result = _continued(numbered, n, edges, out, filled.select("n", "v0", score), damping, max_iter - rounds, tol)
+    discard(*held)
+    if parts:
+        discard(table)
+    return result
+
+
+def _continued(numbered: DataFrame, n: int, edges: DataFrame, out: DataFrame, start: DataFrame, damping: float, max_iter: int, tol: float) -> DataFrame:
+    """Further rounds from ranks (n, v0, score), v0 being the restart.
+
+    While all ranks take at most ``BROADCAST_BYTES`` they are sent to the links,
+    which lie partitioned by target, and a round shuffles nothing; beyond that
+    the links lie partitioned by source and a round shuffles ranks and partial
+    sums.  A round is one job: its ranks are written, and the dangling mass and
+    change observed meanwhile.
+    """
     small = n * 16 <= BROADCAST_BYTES
-    links = edges.join(out, "s").groupBy("s", "t").agg(F.sum(F.lit(damping) / F.col("d")).alias("share"))
+    links = edges.join(out.withColumnRenamed("n", "s"), "s").groupBy("s", "t").agg(F.sum(F.lit(damping) / F.col("d")).alias("share"))
     links = links.repartition("t" if small else "s").persist()
-    base = numbered.join(out.select(F.col("s").alias("n"), F.lit(False).alias("dangling")), "n", "left")
-    p = F.lit(1.0 / n)
-    if personalization is not None:
-        own = personalization.groupBy("id").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w")).join(numbered.select("id"), "id", "left_semi")
-        total = own.agg(F.sum("w")).collect()[0][0] or 0.0
-        if total > 0:
-            base = base.join(own, "id", "left")
-            p = F.coalesce("w", F.lit(0.0)) / total
-    base = base.select("n", F.coalesce("dangling", F.lit(True)).alias("dangling"), p.alias("p")).repartition("n").persist()
-    ranks = base.select("n", "dangling", "p", F.lit(1.0 / n).alias("score"))
-    lost = base.where("dangling").count() / n
+    base = start.join(out.select("n", F.lit(False).alias("dangling")), "n", "left")
+    ranks = cut(base.select("n", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.col("v0").alias("p"), "score"))
+    lost = ranks.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0))).collect()[0][0]
     for _ in range(max_iter):
         now = ranks.select(F.col("n").alias("s"), F.col("score").alias("given"))
         gain = links.join(F.broadcast(now) if small else now, "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("share") * F.col("given")).alias("gain"))
@@ -63,9 +155,8 @@ def pagerank(graph: PropertyGraph, relations: tuple[str, ...] = KNOWLEDGE, dampi
         if change < tol:
             break
     result = cut(ranks.join(numbered, "n").select("id", "score"))
-    discard(ranks, edges, numbered)
-    for old in (links, base):
-        old.unpersist()
+    discard(ranks)
+    links.unpersist()
     return result
 
 
