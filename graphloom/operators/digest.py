@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.paths import tokens, top_area
 from graphloom.graph import PropertyGraph
+from graphloom.operators.iterate import cut
 from graphloom.schema import DOCUMENT_TYPES
 
 TEXT_EXTENSIONS = "c cc cfg cpp cs css csv go h hpp htm html ini java js json jsonl jsx log markdown md php ps1 psm1 py rb rs rst sh sql toml ts tsx txt xml yaml yml".split()
@@ -33,7 +34,7 @@ def area_rollup(graph: PropertyGraph, top: int = 8) -> DataFrame:
 def project_digest(graph: PropertyGraph) -> DataFrame:
     """One row: files, areas, links, size, orphans, broken_refs."""
     files = graph.files()
-    linked = graph.knowledge_degree().select("id")
+    linked = graph.linked()
     broken = F.sum(F.size(F.coalesce("broken_refs", F.array().cast("array<string>")))) if "broken_refs" in graph.nodes.columns else F.lit(0)
     a = files.agg(F.count("*").alias("files"), F.count_distinct(top_area(F.col("path"))).alias("areas"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
     b = graph.edges.agg(F.count("*").alias("links"))
@@ -56,7 +57,7 @@ def store_summary(graph: PropertyGraph, key_files: int = 10) -> dict:
 def assess(graph: PropertyGraph) -> DataFrame:
     """One row: tokens to list all paths, bytes and tokens of documents, share of orphans."""
     files = graph.files()
-    linked = graph.knowledge_degree().select("id")
+    linked = graph.linked()
     a = files.agg(
         F.count("*").alias("files"),
         tokens(F.coalesce(F.sum(F.length("path") + 1), F.lit(0))).alias("tokens_inventory"),
@@ -75,7 +76,7 @@ def view_legend(graph: PropertyGraph) -> DataFrame:
 
 def view_nodes(graph: PropertyGraph, hub_share: float = 0.15) -> DataFrame:
     """(id, label, type, degree, radius, hub): the viewer's nodes; radius 10 to 40 by degree."""
-    degree = graph.viewer_degree()
+    degree = cut(graph.viewer_degree())
     most = degree.agg(F.max("degree")).collect()[0][0] or 1
     rows = graph.nodes.where("type <> 'area'").join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return rows.select("id", "label", "type", "degree", F.round(10 + 30.0 * F.col("degree") / most, 1).alias("radius"), (F.col("degree") >= hub_share * most).alias("hub"))

@@ -25,3 +25,28 @@ def test_ranks_with_circles_go_on_after_the_series(spark, monkeypatch):
     got = {r["id"]: r["score"] for r in rank.pagerank(g, max_iter=5, tol=0.0).collect()}
     want = naive_pagerank(ids, edges, 5)
     assert all(abs(got[i] - want[i]) < 1e-12 for i in ids)
+
+
+def odd_graph(spark):
+    ids = [("a", "program"), ("b", "program"), ("c", "report"), ("area:x", "area")]
+    return graph(spark, ids, [("a", "b", "imports"), ("a", "a", "references"), ("b", "gone", "imports"), ("c", "area:x", "belongs_to"), ("c", "area:x", "mentions"), ("c", "a", "references")])
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_degrees_of_dangling_ends_and_loops(spark):
+    g = odd_graph(spark)
+    told = lambda df: {r["id"]: r["degree"] for r in df.collect()}
+    assert told(g.viewer_degree()) == {"a": 4, "b": 1, "c": 1}
+    assert told(g.community_degree()) == {"a": 2, "b": 2, "c": 1}
+    assert told(g.degree()) == {"a": 3, "b": 2, "gone": 1, "c": 3, "area:x": 2}
+    assert told(g.degree_of(g.nodes.where("id in ('a', 'c')"))) == {"a": 3, "c": 3}
+
+
+def test_degrees_are_counted_after_ids_are_brought_together(spark):
+    """Else a task's counts grow with the edges of its split, whatever the number of partitions."""
+    g = odd_graph(spark)
+    for df in (g.degree(), g.store_degree(), g.knowledge_degree(), g.linked()):
+        assert "RepartitionByExpression [id" in plan(df)
