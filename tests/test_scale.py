@@ -50,3 +50,11 @@ def test_degrees_are_counted_after_ids_are_brought_together(spark):
     g = odd_graph(spark)
     for df in (g.degree(), g.store_degree(), g.knowledge_degree(), g.linked()):
         assert "RepartitionByExpression [id" in plan(df)
+
+
+def test_impact_counts_only_the_degrees_of_what_it_found(spark):
+    from graphloom.operators import traverse
+
+    walked = traverse.impact(odd_graph(spark), "a", "up")["upstream"]
+    assert {(r["id"], r["degree"]) for r in walked.collect()} == {("c", 3)}
+    assert plan(walked).count("strategy=broadcast") >= 2
