@@ -58,3 +58,12 @@ def test_impact_counts_only_the_degrees_of_what_it_found(spark):
     walked = traverse.impact(odd_graph(spark), "a", "up")["upstream"]
     assert {(r["id"], r["degree"]) for r in walked.collect()} == {("c", 3)}
     assert plan(walked).count("strategy=broadcast") >= 2
+
+
+def test_five_degrees_at_once(spark):
+    g = odd_graph(spark)
+    told = {}
+    for r in g.degree_kinds().collect():
+        told.setdefault(r["kind"], {})[r["id"]] = r["degree"]
+    one = {"all": g.degree(), "knowledge": g.knowledge_degree(), "community": g.community_degree(), "store": g.store_degree(), "viewer": g.viewer_degree()}
+    assert told == {k: {r["id"]: r["degree"] for r in d.collect()} for k, d in one.items()}
