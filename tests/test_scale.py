@@ -67,3 +67,13 @@ def test_five_degrees_at_once(spark):
         told.setdefault(r["kind"], {})[r["id"]] = r["degree"]
     one = {"all": g.degree(), "knowledge": g.knowledge_degree(), "community": g.community_degree(), "store": g.store_degree(), "viewer": g.viewer_degree()}
     assert told == {k: {r["id"]: r["degree"] for r in d.collect()} for k, d in one.items()}
+
+
+def test_integrity_of_odd_texts(spark, tmp_path):
+    """The SQL goes by doc_id: a null or empty text, or one that holds zero bytes, is no problem by itself."""
+    from graphloom.plans.catalog_queries import queries
+
+    rows = [(0, "x"), (1, ""), (2, None), (3, None), (4, "a" + "\0" * 16 + "b"), (5, ""), (13, ""), (23, "x"), (10, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["path"], r["problem"]) for r in queries()["integrity_scan"](spark, str(tmp_path)).collect()}
+    assert got == {("d0.md", "empty"), ("d10.md", "empty"), ("d3.md", "truncated"), ("d13.md", "truncated"), ("d23.md", "truncated")}
