@@ -67,7 +67,6 @@ def resolve_references(refs: DataFrame, files: DataFrame, listed: DataFrame | No
     status: ok, self, broken, external or ignored.  ``listed`` has all present
     paths, indexed or not; folders in ``pruned`` belong to other projects.
     """
-    listed = files if listed is None else listed
     known = files.select("path")
     rows = refs.select("source", "target", "kind").distinct()
     rows = rows.withColumn("relative", join_path(dirname(F.col("source")), F.col("target"))).withColumn("rooted", join_path(F.lit(""), F.col("target")))
@@ -79,9 +78,14 @@ def resolve_references(refs: DataFrame, files: DataFrame, listed: DataFrame | No
     docs = known.where(F.ltrim(ext(F.col("path")), F.lit(".")).isin(REFERENCE_DOC))
     bare = open_.where(ext(F.col("target")) == "").select("source", "target", basename(F.col("target")).alias("stem")).where("stem <> ''").distinct()
     stemmed = _unique(docs.select(stem(F.col("path")).alias("stem"), "path"), bare, "stem")
-    rows = rows.join(named.withColumnRenamed("hit", "hit_name"), ["source", "target"], "left").join(stemmed.withColumnRenamed("hit", "hit_stem"), ["source", "target"], "left")
-    present = listed.select(F.col("path").alias("relative"), F.lit(True).alias("there")).distinct()
-    rows = rows.join(present, "relative", "left")
+    # only what has no exact hit takes part in the further joins
+    told = rows.where("hit_relative is not null or hit_rooted is not null").withColumns({"hit_name": F.lit(None).cast("string"), "hit_stem": F.lit(None).cast("string")})
+    rows = open_.join(named.withColumnRenamed("hit", "hit_name"), ["source", "target"], "left").join(stemmed.withColumnRenamed("hit", "hit_stem"), ["source", "target"], "left")
+    rows = told.unionByName(rows)
+    if listed is None:
+        rows = rows.withColumn("there", F.col("hit_relative").isNotNull())
+    else:
+        rows = rows.join(listed.select(F.col("path").alias("relative"), F.lit(True).alias("there")).distinct(), "relative", "left")
     exact = F.coalesce("hit_relative", "hit_rooted")
     hit = F.coalesce(exact, F.col("hit_name"), F.col("hit_stem"))
     first = F.split_part(F.col("relative"), F.lit("/"), F.lit(1))

@@ -77,3 +77,15 @@ def test_integrity_of_odd_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["path"], r["problem"]) for r in queries()["integrity_scan"](spark, str(tmp_path)).collect()}
     assert got == {("d0.md", "empty"), ("d10.md", "empty"), ("d3.md", "truncated"), ("d13.md", "truncated"), ("d23.md", "truncated")}
+
+
+def test_references_are_joined_no_more_than_needed(spark):
+    """Files that are listed only as files need no join of their own, and exact hits none by name."""
+    from graphloom.operators import resolve
+
+    refs = spark.createDataFrame([("a/x.md", "../b/y.md", "link"), ("a/x.md", "y", "wikilink"), ("a/x.md", "gone/z.md", "link"), ("a/x.md", "../../o/z.md", "link"), ("a/x.md", "x.md", "link")], "source string, target string, kind string")
+    files = spark.createDataFrame([("a/x.md",), ("b/y.md",)], "path string")
+    told = resolve.resolve_references(refs, files)
+    got = {r["target"]: (r["hit"], r["status"]) for r in told.collect()}
+    assert got == {"../b/y.md": ("b/y.md", "ok"), "y": ("b/y.md", "ok"), "gone/z.md": (None, "broken"), "../../o/z.md": (None, "external"), "x.md": (None, "self")}
+    assert plan(told).count("Join LeftOuter") <= 2
