@@ -23,6 +23,8 @@ LEVELS = 16
 #: Labels up to which a stage's are sent to all tasks.
 BROADCAST_LABELS = 1_500_000
 BROADCAST_NAMES = 200_000
+#: Rows that a partition is meant to have.
+TASK_ROWS = 1_000_000
 WIDE = 1 << 31
 
 
@@ -30,20 +32,32 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     """(id, component) of every end of (a, b); the component is its smallest id.
 
     Labels move to the smallest among neighbours, then jump to their label's
-    label, until a digest of all labels stays the same.
+    label, until a digest of all labels stays the same.  Rows are sent to so many
+    partitions that none has more than about ``TASK_ROWS``, and are aggregated there:
+    beforehand a task's memory would grow with its split.
     """
-    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
+    links = cut(pairs.select("a", "b").where("a <> b"))
+    parts = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * links.count() / TASK_ROWS))
+    both = cut(links.union(links.select("b", "a")).repartition(parts, "a", "b").distinct())
+    discard(links)
+    labels = cut(both.repartition(parts, "a").groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
     before = None
     while True:
         now = labels.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).collect()[0][0]
         if now == before:
             return labels.withColumnRenamed("label", "component")
         before = now
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"))
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
-        labels = cut(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("beyond", "label")).alias("label")))
+        told = labels.select(F.col("id").alias("b"), "label").repartition(parts, "b")
+        near = both.repartition(parts, "b").join(told, "b").select(F.col("a").alias("id"), "label").repartition(parts, "id").groupBy("id").agg(F.min("label").alias("near"))
+        step = cut(labels.repartition(parts, "id").join(near, "id").select("id", F.least("label", "near").alias("label")))
+        # what labels lead to; there are few of them, or none, once components are large
+        used = step.select("label").repartition(parts, "label").distinct()
+        jump = cut(step.select(F.col("id").alias("label"), F.col("label").alias("beyond")).where("label <> beyond").repartition(parts, "label").join(used, "label"))
+        size = jump.count()
+        if size:
+            by = step.join(F.broadcast(jump), "label", "left") if size <= BROADCAST_NAMES else step.repartition(parts, "label").join(jump.repartition(parts, "label"), "label", "left")
+            step = cut(by.select("id", F.least("label", F.coalesce("beyond", "label")).alias("label")))
+        labels = step
 
 
 def propagate(pairs: list[tuple[str, str]], passes: int = PASSES) -> dict[str, str]:
