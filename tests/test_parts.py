@@ -46,3 +46,8 @@ def unstored(spark, name):
 def test_components_make_the_orders_edges_only(spark):
     first, again = unstored(spark, "components")
     assert first == again and first
+
+
+def test_community_names_need_no_stored_graph(spark):
+    first, again = unstored(spark, "community_names")
+    assert first == again and sum(r[1] for r in first) == 25 + spark.read.parquet(f"{SF}/customer.parquet").count()
